@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from tidemark.llm.common import read
 
 
+def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.mixing import mix_counts
+
+    return mix_counts(read(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.sharding import kd_shards
 
@@ -16,7 +22,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_sharding": op10_sharding}
+    return {"op3_mixing": op3_mixing, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
