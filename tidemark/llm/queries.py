@@ -15,6 +15,12 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_counts(read(spark, sf_dir, "documents"))
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.neardup import near_duplicates
+
+    return near_duplicates(read(spark, sf_dir, "documents"), n_words=2)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.sharding import kd_shards
 
@@ -22,7 +28,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixing": op3_mixing, "op10_sharding": op10_sharding}
+    return {"op3_mixing": op3_mixing, "op4_near_duplicates": op4_near_duplicates, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
