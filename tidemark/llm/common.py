@@ -51,12 +51,17 @@ def remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+def keep_until_exit(spark: SparkSession, path: str) -> None:
+    """Results read what is staged, so it goes when the program ends."""
+    atexit.register(remove, spark, path)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: the lineage ends there and any executor can reread it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidemark-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    atexit.register(remove, spark, path)
+    keep_until_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 

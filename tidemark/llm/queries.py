@@ -21,6 +21,20 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), n_words=2)
 
 
+def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import uuid
+
+    import public_tokenizers
+
+    from tidemark.llm.common import keep_until_exit, shared_dir
+    from tidemark.llm.tokens import read_tokens, write_tokens
+
+    path = f"{shared_dir(spark)}/tidemark-tokens-{uuid.uuid4().hex}"
+    write_tokens(read(spark, sf_dir, "documents"), path, public_tokenizers.path("word_bpe_49k.json"))
+    keep_until_exit(spark, path)
+    return read_tokens(spark, path, with_ids=False)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.sharding import kd_shards
 
@@ -28,7 +42,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixing": op3_mixing, "op4_near_duplicates": op4_near_duplicates, "op10_sharding": op10_sharding}
+    return {"op3_mixing": op3_mixing, "op4_near_duplicates": op4_near_duplicates, "op8_token_ids": op8_token_ids, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
