@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tidemark.llm.common import read
 
@@ -21,6 +22,13 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), n_words=2)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.passages import without_passages
+
+    out = without_passages(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -42,7 +50,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixing": op3_mixing, "op4_near_duplicates": op4_near_duplicates, "op8_token_ids": op8_token_ids, "op10_sharding": op10_sharding}
+    return {"op3_mixing": op3_mixing, "op4_near_duplicates": op4_near_duplicates, "op6_substring_dedup": op6_substring_dedup, "op8_token_ids": op8_token_ids, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
