@@ -5,7 +5,7 @@ ids. Spark's own writer commits the segments, one binary value each, with part a
 any file system that Spark writes will do. The position of a segment in the whole is the running sum of the parts' and segments' counts.
 
 A text is split at ASCII white space, which this tokenizer drops and never joins across; words already seen come from a bounded cache,
-the others of a batch are encoded together by the tokenizers library, with a separator that is looked for in the result.
+the others of a batch are encoded together by the tokenizers library (see WordIds).
 
 Defined results: null text is the empty text (only the end id); null doc_id sorts first; rows with one doc_id are ordered by text, and equal
 rows each have their own place; an empty table gives no segments and no rows; other columns are ignored.
@@ -13,6 +13,7 @@ rows each have their own place; an empty table gives no segments and no rows; ot
 
 from __future__ import annotations
 
+import string
 import sys
 import types
 import zlib
@@ -25,48 +26,70 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.dac import Segment, encode
 
-SEPARATOR = b"\x01"
+PUNCTUATION = string.punctuation.encode()
 
 
 class WordIds(dict):
-    """Ids of words as little-endian u32 bytes; bounded."""
+    """Ids of words as little-endian u32 bytes; bounded.
 
-    def __init__(self, spec: str, most: int = 250_000):
+    A word is looked up as it is. An unseen one is reduced to a stem, lower-cased in ASCII (as the tokenizer's normaliser does) and without
+    the run of PUNCTUATION at its end, if an ASCII letter or digit comes before that run: there the tokenizer always cuts.
+    Unseen stems of letters alone are one piece each and are encoded in one call; their last ids carry the mark of a word's end.
+    All others, and any whose marks don't add up, are encoded one by one.
+    """
+
+    def __init__(self, spec: str, most: int = 900_000):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.most, self.tok = most, Tokenizer.from_str(spec)
-        self.apart = self.ids(" \x01 ")
-
-    def ids(self, text: str) -> list[int]:
-        return self.tok.encode(text, add_special_tokens=False).ids
+        self.most, self.tok, self.stems, self.tails = most, Tokenizer.from_str(spec), {}, {}
+        vocab = self.tok.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
+        self.cuts = bool(self.ends.any())
+
+    def ids(self, word: bytes) -> bytes:
+        return np.array(self.tok.encode(word.decode(errors="replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
+
+    def _split(self, word: bytes) -> tuple[bytes, bytes]:
+        if not self.cuts or b"<|" in word:  # names of special tokens are found before anything else is done
+            return word, b""
+        low = word.lower()
+        stem = low.rstrip(PUNCTUATION)
+        if len(stem) == len(low) or not stem or not stem[-1:].isalnum():
+            return low, b""
+        return stem, low[len(stem) :]
 
     def learn(self, words: set[bytes]) -> None:
-        """Encodes words not seen yet in one call."""
         new = [w for w in words if w not in self]
         if not new:
             return
         if len(self) + len(new) > self.most:
             self.clear()
+            self.stems.clear()
             new = list(words)
-        odd = [w for w in new if SEPARATOR in w]
-        plain = [w for w in new if SEPARATOR not in w]
-        if plain and len(self.apart) >= 1:
-            got = np.array(self.tok.encode_batch_fast([b" \x01 ".join(plain).decode(errors="replace")], add_special_tokens=False)[0].ids, dtype="<u4")
-            k = len(self.apart)
-            hit = got[: len(got) - k + 1] == self.apart[0]
-            for j in range(1, k):
-                hit &= got[j : len(got) - k + 1 + j] == self.apart[j]
-            ends = np.flatnonzero(hit)
-            if len(ends) == len(plain) - 1:
+        split = [self._split(w) for w in new]
+        unseen = list({s for s, _ in split} - self.stems.keys())
+        plain = [s for s in unseen if s.decode(errors="replace").isalpha()] if self.cuts else []
+        odd = unseen
+        if plain:
+            got = np.array(self.tok.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
+            stops = np.flatnonzero(self.ends[got]) + 1
+            if len(stops) == len(plain) and stops[-1] == len(got):
                 raw, lo = got.tobytes(), 0
-                for w, e in zip(plain, [*ends.tolist(), len(got)], strict=True):
-                    self[w] = raw[4 * lo : 4 * e]
-                    lo = e + k
+                for s, hi in zip(plain, (4 * stops).tolist(), strict=True):
+                    self.stems[s] = raw[lo:hi]
+                    lo = hi
+                odd = [s for s in unseen if s not in self.stems]
+        for s in odd:
+            self.stems[s] = self.ids(s)
+        for w, (s, tail) in zip(new, split, strict=True):
+            if tail:
+                if tail not in self.tails:
+                    self.tails[tail] = self.ids(tail)
+                self[w] = self.stems[s] + self.tails[tail]
             else:
-                odd += plain
-        for w in odd:
-            self[w] = np.array(self.ids(w.decode(errors="replace")), dtype="<u4").tobytes()
+                self[w] = self.stems[s]
 
 
 def _kept_in_worker(key: str, make):
