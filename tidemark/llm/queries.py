@@ -22,6 +22,12 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(read(spark, sf_dir, "documents"), n_words=2)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.language import predict_language
+
+    return predict_language(read(spark, sf_dir, "documents"))
+
+
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.passages import without_passages
 
@@ -43,6 +49,12 @@ def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(spark, path, with_ids=False)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.decontaminate import contamination
+
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.sharding import kd_shards
 
@@ -50,7 +62,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixing": op3_mixing, "op4_near_duplicates": op4_near_duplicates, "op6_substring_dedup": op6_substring_dedup, "op8_token_ids": op8_token_ids, "op10_sharding": op10_sharding}
+    return {"op3_mixing": op3_mixing, "op4_near_duplicates": op4_near_duplicates, "op5_language_id": op5_language_id, "op6_substring_dedup": op6_substring_dedup, "op8_token_ids": op8_token_ids, "op9_decontamination": op9_decontamination, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
