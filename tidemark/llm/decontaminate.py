@@ -1,6 +1,6 @@
 """Benchmark decontamination by spaced seeds: masked word windows are hashed and joined, hits are verified along their diagonal.
 
-Words `[^\\x20\\x09-\\x0D]+` are lower-cased (A-Z). A mask has five positions that count; the positions between them are ignored, so a
+Words `[^\\x20\\x09-\\x0D]+` are lower-cased (A-Z) and lose the ASCII punctuation around them. A mask has five positions that count; the positions between them are ignored, so a
 substitution there does not spoil the hit. Hashes of all masked windows of the benchmark items are joined with those of all documents: the
 items' hashes, of at most `slice_words` words at a time, go to all tasks, where a bitmap and a sorted search find the hits; a larger
 benchmark is joined in as many slices as it needs, which partition the items. A hit fixes the diagonal (word i of the item is word i + d of
@@ -13,6 +13,7 @@ clean; of equal overlaps the smallest item_id is reported; repeated rows have eq
 
 from __future__ import annotations
 
+import string
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,6 +26,18 @@ from tidemark.llm.wordhash import P, WordHashes, mix
 MASKS = ("11111", "111011", "110111", "1101101", "1011011")
 
 
+class PlainHashes(WordHashes):
+    """Hashes of words without the ASCII punctuation around them."""
+
+    def __missing__(self, word: bytes) -> int:
+        plain = word.strip(string.punctuation.encode())
+        if plain and plain != word:
+            h = self[plain]
+            self[word] = h
+            return h
+        return super().__missing__(word)
+
+
 def _masked(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
     m = len(h) - len(mask) + 1
     if m < 1:
@@ -38,7 +51,7 @@ def _masked(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
 
 def build_index(items: list[tuple[int, str]]) -> dict | None:
     """Sorted seed hashes of items, with the item and place of each, and a bitmap of them."""
-    hashes, words, seeds = WordHashes(), [], []
+    hashes, words, seeds = PlainHashes(), [], []
     masks = list(MASKS)
     for i, (_, text) in enumerate(items):
         h = hashes.of((text or "").encode(errors="replace").lower().split())
@@ -97,7 +110,7 @@ def find_leak(h: np.ndarray, index: dict, percent: int, least_words: int) -> tup
 
 def _scan(shared, percent: int, least_words: int):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        index, hashes = shared.value, WordHashes()
+        index, hashes = shared.value, PlainHashes()
         for s in batches:
             rows = []
             for t in s:

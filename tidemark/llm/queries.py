@@ -35,6 +35,12 @@ def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.urlfilter import judge
+
+    return judge(read(spark, sf_dir, "pages"))
+
+
 def op8_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -62,7 +68,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixing": op3_mixing, "op4_near_duplicates": op4_near_duplicates, "op5_language_id": op5_language_id, "op6_substring_dedup": op6_substring_dedup, "op8_token_ids": op8_token_ids, "op9_decontamination": op9_decontamination, "op10_sharding": op10_sharding}
+    return {"op3_mixing": op3_mixing, "op4_near_duplicates": op4_near_duplicates, "op5_language_id": op5_language_id, "op6_substring_dedup": op6_substring_dedup, "op7_url_filter": op7_url_filter, "op8_token_ids": op8_token_ids, "op9_decontamination": op9_decontamination, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
