@@ -10,6 +10,12 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import read
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.fingerprints import fingerprints
+
+    return fingerprints(read(spark, sf_dir, "documents"))
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mix_counts
 
@@ -68,7 +74,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op3_mixing": op3_mixing, "op4_near_duplicates": op4_near_duplicates, "op5_language_id": op5_language_id, "op6_substring_dedup": op6_substring_dedup, "op7_url_filter": op7_url_filter, "op8_token_ids": op8_token_ids, "op9_decontamination": op9_decontamination, "op10_sharding": op10_sharding}
+    return {"op1_fingerprints": op1_fingerprints, "op3_mixing": op3_mixing, "op4_near_duplicates": op4_near_duplicates, "op5_language_id": op5_language_id, "op6_substring_dedup": op6_substring_dedup, "op7_url_filter": op7_url_filter, "op8_token_ids": op8_token_ids, "op9_decontamination": op9_decontamination, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:
