@@ -16,6 +16,12 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints(read(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidemark.llm.licenses import document_paths, scan
+
+    return scan(document_paths(read(spark, sf_dir, "documents"))).withColumnRenamed("id", "doc_id")
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidemark.llm.mixing import mix_counts
 
@@ -74,7 +80,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_fingerprints": op1_fingerprints, "op3_mixing": op3_mixing, "op4_near_duplicates": op4_near_duplicates, "op5_language_id": op5_language_id, "op6_substring_dedup": op6_substring_dedup, "op7_url_filter": op7_url_filter, "op8_token_ids": op8_token_ids, "op9_decontamination": op9_decontamination, "op10_sharding": op10_sharding}
+    return {"op1_fingerprints": op1_fingerprints, "op2_license_scan": op2_license_scan, "op3_mixing": op3_mixing, "op4_near_duplicates": op4_near_duplicates, "op5_language_id": op5_language_id, "op6_substring_dedup": op6_substring_dedup, "op7_url_filter": op7_url_filter, "op8_token_ids": op8_token_ids, "op9_decontamination": op9_decontamination, "op10_sharding": op10_sharding}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -38,11 +38,11 @@ class WordIds(dict):
     All others, and any whose marks don't add up, are encoded one by one.
     """
 
-    def __init__(self, spec: str, most: int = 900_000):
+    def __init__(self, spec: str, most: int = 500_000, most_stems: int = 700_000):
         from tokenizers import Tokenizer
 
         super().__init__()
-        self.most, self.tok, self.stems, self.tails = most, Tokenizer.from_str(spec), {}, {}
+        self.most, self.most_stems, self.tok, self.stems, self.tails = most, most_stems, Tokenizer.from_str(spec), {}, {}
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -52,7 +52,7 @@ class WordIds(dict):
         return np.array(self.tok.encode(word.decode(errors="replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
     def _split(self, word: bytes) -> tuple[bytes, bytes]:
-        if not self.cuts or b"<|" in word:  # names of special tokens are found before anything else is done
+        if not self.cuts or b"<|" in word:
             return word, b""
         low = word.lower()
         stem = low.rstrip(PUNCTUATION)
@@ -60,16 +60,21 @@ class WordIds(dict):
             return low, b""
         return stem, low[len(stem) :]
 
+    def words(self, text: bytes) -> list[bytes]:
+        """The words of a text, lower-cased beforehand unless it may hold names of special tokens, which are found before all else."""
+        return (text.lower() if self.cuts and b"<|" not in text else text).split()
+
     def learn(self, words: set[bytes]) -> None:
         new = [w for w in words if w not in self]
         if not new:
             return
         if len(self) + len(new) > self.most:
             self.clear()
-            self.stems.clear()
             new = list(words)
+        if len(self.stems) > self.most_stems:
+            self.stems.clear()
         split = [self._split(w) for w in new]
-        unseen = list({s for s, _ in split} - self.stems.keys())
+        unseen = [s for s in {s for s, _ in split} if s not in self.stems]
         plain = [s for s in unseen if s.decode(errors="replace").isalpha()] if self.cuts else []
         odd = unseen
         if plain:
@@ -116,7 +121,7 @@ def _write(spec, end_id: int, segment_tokens: int):
             return pa.RecordBatch.from_arrays([pa.array([x], f.type) for x, f in zip((part, seg, len(docs), held, data), schema, strict=True)], schema=schema)
 
         for b in batches:
-            split = [(d, (t or b"").split()) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)]
+            split = [(d, table.words(t or b"")) for d, t in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True)]
             lo = 0
             while lo < len(split):
                 hi, words, n = lo, set(), 0
