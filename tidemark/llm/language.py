@@ -8,7 +8,7 @@ matrix product.
 
 The sample: of the labelled rows allowed for training, about `rows_per_lang` of each language (chosen by a hash of the id) with at most
 `max_bytes` bytes. A tenth of them is kept out of training and fits the temperature and the score below which a text is
-rejected (the `reject` quantile of the scores of right answers, and never above 0.4).
+rejected (the `reject` quantile of the scores of right answers, never above 0.4, and less where fewer than 100 texts were kept).
 
 Defined results: null text, and text without a letter, is `und` with score 0 and rejected; if nothing was learned everything is; null
 doc_id counts as crc32 remainder 0; repeated rows have equal results; an empty table gives no rows; other columns are ignored.
@@ -23,6 +23,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import bounded_batches
+from tidemark.llm.wordhash import tidy
+
 GRAMS = (2, 3, 4)
 BLANK = bytes(0x20 if c in b" \t\n\x0b\x0c\r" else c for c in range(256))
 
@@ -57,7 +60,7 @@ def normal(text: str) -> bytes:
     return b" " + text.encode(errors="replace").lower().translate(BLANK) + b" "
 
 
-def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, dim: int = 12, epochs: int = 2, rate: float = 1.0, seed: int = 5, reject: float = 0.001) -> dict | None:
+def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, dim: int = 12, steps: int = 1500, rate: float = 1.0, seed: int = 5, reject: float = 0.001) -> dict | None:
     """The model: {langs, table (buckets x langs), bias, temperature, least}."""
     langs = sorted(set(labels))
     if not langs:
@@ -80,7 +83,9 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, dim: int
     ys = np.array(ys, dtype=np.int64)
     share = np.maximum(np.bincount(ys, minlength=len(langs)), 1) if len(ys) else np.ones(len(langs))
     weight = len(ys) / (len(langs) * share)
-    batch, step, total = 128, 0, max(1, epochs * len(pieces) // 128)
+    batch, step = 64, 0
+    epochs = min(100, max(2, -(-steps * batch // max(1, len(pieces)))))  # small samples are seen more often
+    total = max(1, epochs * len(pieces) // batch)
     for _ in range(epochs):
         order = rng.permutation(len(pieces))
         for i in range(0, len(order), batch):
@@ -110,7 +115,8 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, dim: int
         model["temperature"] = float(min(np.geomspace(0.05, 5, 60), key=loss))
         p = softmax(z / model["temperature"])
         right = p.max(1)[p.argmax(1) == y]
-        model["least"] = float(min(0.4, np.quantile(right, reject))) if len(right) else 0.0
+        # few texts say little about the tail: below 100 of them the bound shrinks with their number
+        model["least"] = float(min(0.4, np.quantile(right, reject)) * min(1.0, len(right) / 100)) if len(right) else 0.0
     return model
 
 
@@ -159,7 +165,7 @@ def logits(texts: list[str], model: dict, chunk: int = 1_000_000) -> np.ndarray:
 def _predict(shared):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         model = shared.value
-        for s in batches:
+        for s in tidy(batches):
             texts = [t if isinstance(t, str) and model and any(map(str.isalpha, t)) else None for t in s]
             some = [i for i, t in enumerate(texts) if t is not None]
             lang, score, rejected = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
@@ -196,6 +202,7 @@ def fit(docs: DataFrame, rows_per_lang: int = 400, max_bytes: int = 20_000, max_
 
 def with_language(docs: DataFrame, **options) -> DataFrame:
     """docs with lang_id: a struct of lang_pred, score and rejected."""
+    bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, **options))  # buckets x languages numbers at most
     return docs.withColumn("lang_id", _predict(model)("text"))
 

@@ -75,7 +75,7 @@ def _split(groups: DataFrame, nodes: list[dict], bins_bits: int, close: float) -
             if best is None or best["c"] == 1 or best["b"] <= close or n["shift"] == 0:
                 # the bin goes to the side that leaves the smaller error
                 over = best is not None and acc + best["b"] - n["want"] < n["want"] - acc
-                n |= {"cut": at + ((1 << n["shift"]) if over else 0), "open": False}
+                n |= {"cut": min(at + ((1 << n["shift"]) if over else 0), 2**63 - 1), "open": False}
             else:
                 step = min(bins_bits, n["shift"])
                 n |= {"from": at, "below": acc, "shift": n["shift"] - step}
