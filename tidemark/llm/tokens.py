@@ -18,6 +18,7 @@ import sys
 import types
 import zlib
 from collections.abc import Iterator
+from operator import itemgetter
 
 import numpy as np
 import pyarrow as pa
@@ -29,20 +30,20 @@ from tidemark.llm.dac import Segment, encode
 PUNCTUATION = string.punctuation.encode()
 
 
-class WordIds(dict):
+class WordIds:
     """Ids of words as little-endian u32 bytes; bounded.
 
-    A word is looked up as it is. An unseen one is reduced to a stem, lower-cased in ASCII (as the tokenizer's normaliser does) and without
+    A word is looked up lower-cased in ASCII (as the tokenizer's normaliser does). An unseen one is reduced to a stem without
     the run of PUNCTUATION at its end, if an ASCII letter or digit comes before that run: there the tokenizer always cuts.
     Unseen stems of letters alone are one piece each and are encoded in one call; their last ids carry the mark of a word's end.
     All others, and any whose marks don't add up, are encoded one by one.
     """
 
-    def __init__(self, spec: str, most: int = 500_000, most_stems: int = 700_000):
+    def __init__(self, spec: str, most: int = 1_100_000, most_stems: int = 1_100_000):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.most, self.most_stems, self.tok, self.stems, self.tails = most, most_stems, Tokenizer.from_str(spec), {}, {}
+        self.most, self.most_stems, self.tok = most, most_stems, Tokenizer.from_str(spec)
+        self.known, self.stems, self.tails = {}, {}, {}  # ids of words, of stems, and of runs of punctuation
         vocab = self.tok.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values()) + 1, dtype=bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -51,32 +52,26 @@ class WordIds(dict):
     def ids(self, word: bytes) -> bytes:
         return np.array(self.tok.encode(word.decode(errors="replace"), add_special_tokens=False).ids, dtype="<u4").tobytes()
 
-    def _split(self, word: bytes) -> tuple[bytes, bytes]:
-        if not self.cuts or b"<|" in word:
-            return word, b""
-        low = word.lower()
-        stem = low.rstrip(PUNCTUATION)
-        if len(stem) == len(low) or not stem or not stem[-1:].isalnum():
-            return low, b""
-        return stem, low[len(stem) :]
-
     def words(self, text: bytes) -> list[bytes]:
         """The words of a text, lower-cased beforehand unless it may hold names of special tokens, which are found before all else."""
         return (text.lower() if self.cuts and b"<|" not in text else text).split()
 
     def learn(self, words: set[bytes]) -> None:
-        new = [w for w in words if w not in self]
+        new = words.difference(self.known)
         if not new:
             return
-        if len(self) + len(new) > self.most:
-            self.clear()
-            new = list(words)
+        if len(self.known) + len(new) > self.most:
+            self.known.clear()
+            new = words
         if len(self.stems) > self.most_stems:
             self.stems.clear()
-        split = [self._split(w) for w in new]
-        unseen = [s for s in {s for s, _ in split} if s not in self.stems]
-        plain = [s for s in unseen if s.decode(errors="replace").isalpha()] if self.cuts else []
-        odd = unseen
+        if not self.cuts:
+            self.known.update((w, self.ids(w)) for w in new)
+            return
+        new = list(new)
+        stems = [s if len(s) < len(w) and s[-1:].isalnum() and b"<|" not in w else w for w, s in zip(new, [w.rstrip(PUNCTUATION) for w in new], strict=True)]
+        odd = list(set(stems).difference(self.stems))
+        plain = [s for s in odd if s.isalpha() or s.decode(errors="replace").isalpha()]
         if plain:
             got = np.array(self.tok.encode_batch_fast([b" ".join(plain).decode()], add_special_tokens=False)[0].ids, dtype="<u4")
             stops = np.flatnonzero(self.ends[got]) + 1
@@ -85,16 +80,23 @@ class WordIds(dict):
                 for s, hi in zip(plain, (4 * stops).tolist(), strict=True):
                     self.stems[s] = raw[lo:hi]
                     lo = hi
-                odd = [s for s in unseen if s not in self.stems]
         for s in odd:
-            self.stems[s] = self.ids(s)
-        for w, (s, tail) in zip(new, split, strict=True):
-            if tail:
+            if s not in self.stems:
+                self.stems[s] = self.ids(s)
+        for w, s in zip(new, stems, strict=True):
+            if w is s:
+                self.known[w] = self.stems[s]
+            else:
+                tail = w[len(s) :]
                 if tail not in self.tails:
                     self.tails[tail] = self.ids(tail)
-                self[w] = self.stems[s] + self.tails[tail]
-            else:
-                self[w] = self.stems[s]
+                self.known[w] = self.stems[s] + self.tails[tail]
+
+    def encoded(self, words: list[bytes], end: bytes) -> bytes:
+        """The ids of learned words, then end."""
+        if len(words) < 2:
+            return b"".join([self.known[w] for w in words]) + end
+        return b"".join(itemgetter(*words)(self.known)) + end
 
 
 def _kept_in_worker(key: str, make):
@@ -131,7 +133,7 @@ def _write(spec, end_id: int, segment_tokens: int):
                     hi += 1
                 table.learn(words)
                 for d, w in split[lo:hi]:
-                    raw = b"".join([*map(table.__getitem__, w), end])
+                    raw = table.encoded(w, end)
                     ids.append(raw)
                     docs.append(d)
                     held += len(raw) // 4
