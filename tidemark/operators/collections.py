@@ -187,6 +187,24 @@ def lpos(a: Column, value: Column, rank: int = 1) -> Column:
     return F.try_element_at(hits, F.lit(rank))
 
 
+# strings: (key, value), bytes in principle; positions are in bytes of the UTF-8 text
+
+
+def getrange(value: Column, start: int, stop: int) -> Column:
+    """Inclusive positions, negative ones from the end, clamped."""
+    raw = value.cast("binary")
+    n = F.octet_length(raw)
+    at = lambda i: F.lit(i) if i >= 0 else F.greatest(n + i, F.lit(0))
+    lo, hi = at(start), F.least(at(stop), n - 1)
+    return F.when(lo > hi, F.lit("")).otherwise(F.substring(raw, lo + 1, F.greatest(hi - lo + 1, F.lit(0))).cast("string"))
+
+
+def appended(log: DataFrame, key: str, seq: str, value: str) -> DataFrame:
+    """APPEND: the values of a key joined in order; a key's text is one value, bounded by its source."""
+    parts = F.sort_array(F.collect_list(F.struct(seq, value)))
+    return log.groupBy(key).agg(F.array_join(F.transform(parts, lambda x: x[value]), "").alias("value"))
+
+
 # bitmaps
 
 

@@ -20,7 +20,7 @@ from tidemark.operators import ranking as R
 from tidemark.operators import schema as M
 from tidemark.operators import spatial as X
 from tidemark.plans import subscribe as U
-from tidemark.sources.tables import TABLES, catalog_columns, catalog_tables, census, column_scan, load, matches, scan_page, seed_rows, total_rows
+from tidemark.sources.tables import TABLES, catalog_columns, catalog_tables, census, column_scan, load, matches, lobby_of, scan_page, seed_rows, tenant_of, total_rows
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -432,9 +432,63 @@ def coll_stream_trim(spark, d):
     return C.stream_trim(stream(spark, d), "key", 20).select("key", "ms", "seq")
 
 
+@query("coll_stream_min_id", f"WITH {STREAM} SELECT key, ms, seq, arrival FROM s WHERE ms > 1706000000 OR (ms = 1706000000 AND seq >= 2)")
+def coll_stream_min_id(spark, d):
+    return C.stream_min_id(stream(spark, d), 1_706_000_000, 2)
+
+
+@query("coll_string_append", "SELECT user_id AS key, string_agg(event_type, '' ORDER BY event_id) AS value FROM events GROUP BY user_id")
+def coll_string_append(spark, d):
+    return C.appended(load(spark, d, "events").select(F.col("user_id").alias("key"), "event_id", "event_type"), "key", "event_id", "event_type")
+
+
+@query("coll_string_ranges", "SELECT c_custkey, c_name[10:13] AS mid, c_name[len(c_name) - 2:len(c_name)] AS tail, '' AS none, strlen(c_name)::INT AS n FROM customer")
+def coll_string_ranges(spark, d):
+    v = F.col("c_name")
+    return load(spark, d, "customer").select("c_custkey", C.getrange(v, 9, 12).alias("mid"), C.getrange(v, -3, -1).alias("tail"), C.getrange(v, 5, 2).alias("none"), F.octet_length(v).alias("n"))
+
+
+@query("coll_string_mget", "SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey IN (3, 7, 11)")
+def coll_string_mget(spark, d):
+    return load(spark, d, "customer").where(F.col("c_custkey").isin(3, 7, 11)).select("c_custkey", "c_mktsegment")
+
+
+@query("coll_set_move", "SELECT DISTINCT CASE WHEN o_custkey = 25 AND o_orderstatus = 'F' THEN 'O' ELSE o_orderstatus END AS key, o_custkey AS member FROM orders")
+def coll_set_move(spark, d):
+    return C.move(load(spark, d, "orders").select(F.col("o_orderstatus").alias("key"), F.col("o_custkey").alias("member")), "F", "O", 25)
+
+
+@query("rank_boards", f"WITH {ENTRIES} SELECT board, count(*) AS players FROM entries WHERE player <> 7 GROUP BY board")
+def rank_boards(spark, d):
+    e = R.best_entries(board(spark, d), ["board"])
+    return e.where("player <> 7").groupBy("board").agg(F.count(F.lit(1)).alias("players"))
+
+
+@query("keyed_tenant_rows", "SELECT tenant, count(*) AS n FROM (SELECT 'z' || (c_nationkey % 4) AS tenant FROM customer WHERE c_nationkey % 5 <> 0) GROUP BY tenant")
+def keyed_tenant_rows(spark, d):
+    name = F.when(F.col("c_nationkey") % 5 == 0, F.lit("plain")).otherwise(F.concat(F.lit("tn:z"), F.col("c_nationkey") % 4, F.lit(":items")))
+    return load(spark, d, "customer").select(tenant_of(name).alias("tenant")).where("tenant IS NOT NULL").groupBy("tenant").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("keyed_lobby_rows", "SELECT c_nationkey::BIGINT AS lobby, count(*) AS n FROM customer WHERE c_nationkey <> 3 GROUP BY c_nationkey")
+def keyed_lobby_rows(spark, d):
+    name = F.when(F.col("c_nationkey") == 3, F.lit("lx_rows")).otherwise(F.concat(F.lit("l"), F.col("c_nationkey"), F.lit("_rows")))
+    return load(spark, d, "customer").select(lobby_of(name).alias("lobby")).where("lobby IS NOT NULL").groupBy("lobby").agg(F.count(F.lit(1)).alias("n"))
+
+
 # places
 
 
+@query("geo_distance", f"WITH {PLACES} SELECT member, round({DIST} / 1609.34, 4) AS miles FROM places")
+def geo_distance(spark, d):
+    return places(spark, d).select("member", G.to_unit(G.haversine(F.lit(15.0), F.lit(37.0), F.col("lon"), F.col("lat")), "mi").alias("miles"))
+
+
+@query("geo_movement", "SELECT c_custkey AS id, CAST((c_custkey * 37) % 1000 AS DOUBLE) + 0.5 AS x, CAST((c_custkey * 91) % 1000 AS DOUBLE) - 2 AS y FROM customer")
+def geo_movement(spark, d):
+    return X.move(points(spark, d).withColumns({"vx": F.lit(0.5), "vy": F.lit(-2.0)})).select("id", "x", "y")
+
+
 @query("geo_radius_join", f"WITH {POINTS} SELECT a.id, b.id AS other FROM pts a JOIN pts b ON a.id <> b.id AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 400")
 def geo_radius_join(spark, d):
     return X.visible(points(spark, d), 20.0)

@@ -64,6 +64,17 @@ def total_rows(frames: dict[str, DataFrame]) -> DataFrame:
     return census(frames).agg(F.sum("n_rows").alias("n_rows"))
 
 
+def tenant_of(name: Column) -> Column:
+    """The tenant of a table named `tn:<tenant>:<table>`, else null."""
+    found = F.regexp_extract(name, r"^tn:([^:]+):(.+)$", 1)
+    return F.nullif(found, F.lit(""))
+
+
+def lobby_of(name: Column) -> Column:
+    """The lobby number of a table named `l<digits>_<table>`, else null."""
+    return F.nullif(F.regexp_extract(name, r"^l([0-9]+)_(.+)$", 1), F.lit("")).cast("bigint")
+
+
 def glob_regex(pattern: str) -> str:
     """A key pattern (* ? [abc] [^a] [a-z] \\x) as an anchored regular expression."""
     out, i = [], 0
