@@ -44,10 +44,9 @@ def _ranges(docs: DataFrame, per: int) -> tuple[Column, int] | None:
     return (k * steps + step).cast("long"), (len(edges) - 1) * steps
 
 
-def _with_next(docs: DataFrame, per: int) -> DataFrame | None:
-    """(range, rn, extra, doc_id, text, next): extra marks the copies of documents of the following range."""
-    least = docs.agg(F.min("doc_id")).first()[0]
-    d = docs.withColumn("o", F.coalesce("doc_id", F.lit((least or 0) - 1)))
+def _with_next(docs: DataFrame, null: int, per: int) -> DataFrame | None:
+    """(rng, rn, extra, o, text, next): extra marks the copies of documents of the following range; o is doc_id, `null` for a null."""
+    d = docs.select(F.coalesce("doc_id", F.lit(null)).alias("o"), "text")
     found = _ranges(d, per)
     if found is None:
         return None
@@ -62,9 +61,9 @@ def _with_next(docs: DataFrame, per: int) -> DataFrame | None:
     here = F.struct(F.col("rng").alias("rng"), F.lit(False).alias("extra"))
     there = F.struct(F.col("before").alias("rng"), F.lit(True).alias("extra"))
     d = d.withColumn("at", F.explode(F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, there))))
-    d = d.select("at.rng", "at.extra", "doc_id", "o", "text")
+    d = d.select("at.rng", "at.extra", "o", "text").where("rng IS NOT NULL")  # as the join below infers for one side
     w = Window.partitionBy("rng").orderBy("extra", "o", "text")
-    return d.select("rng", "extra", "doc_id", "text", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next"))
+    return d.select("rng", "extra", "o", "text", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next"))
 
 
 def _uniform(h: Column, part: int) -> Column:
@@ -85,13 +84,15 @@ def fingerprints(docs: DataFrame, samples: int = 32, per: int = 2000) -> DataFra
 
     The edited text has its last floor(n_chars / 4) characters replaced by the first as many (or all) of the next document.
     """
-    base = _with_next(docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")), per)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    null = (docs.agg(F.min("doc_id")).first()[0] or 0) - 1
+    base = _with_next(docs, null, per)
     if base is None:
-        return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(0).cast("long").alias("n_chars"), *(F.lit("").alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), F.lit(0.0).alias("near_edited"), F.lit(0.0).alias("near_next"))
+        return docs.select("doc_id", F.lit(0).cast("long").alias("n_chars"), *(F.lit("").alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), F.lit(0.0).alias("near_edited"), F.lit(0.0).alias("near_next"))
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut))
-    base = base.select("rng", "rn", "extra", "doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    base = base.select("rng", "rn", "extra", "o", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
 
     both = F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.when(F.col("extra"), "").otherwise(F.col("edited")).alias("t")))
     terms = base.select("rng", "rn", F.explode(both).alias("x")).select("rng", "rn", "x.v", F.explode(words_of(F.col("x.t"))).alias("w"))
@@ -111,7 +112,8 @@ def fingerprints(docs: DataFrame, samples: int = 32, per: int = 2000) -> DataFra
     ids = lambda c: F.when(F.col(f"{c}0").isNotNull(), F.array(*(F.col(f"{c}{k}").bitwiseAND(F.lit(LOW32)) for k in range(samples))))
     kept = kept.select("rng", "rn", ids("p").alias("own"), ids("q").alias("changed"))
 
-    info = base.select("rng", "rn", "extra", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    # the id is made from o at the very end: both branches then need the same columns, and one exchange of the texts serves them
+    info = base.select("rng", "rn", "extra", "o", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     out = info.join(kept, ["rng", "rn"], "left")
     out = out.withColumn("after", F.lead("own").over(Window.partitionBy("rng").orderBy("rn"))).where(~F.col("extra"))
 
@@ -120,4 +122,5 @@ def fingerprints(docs: DataFrame, samples: int = 32, per: int = 2000) -> DataFra
         return F.when(F.col(a).isNull() & F.col(b).isNull(), 1.0).when(F.col(a).isNull() | F.col(b).isNull(), 0.0).otherwise(same)
 
     text = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""), F.lit(""))
-    return out.select("doc_id", "n_chars", "edited_sha256", text("own").alias("fingerprint"), text("changed").alias("edited_fingerprint"), near("own", "changed").alias("near_edited"), near("own", "after").alias("near_next"))
+    doc_id = F.when(F.col("o") != null, F.col("o")).alias("doc_id")
+    return out.select(doc_id, "n_chars", "edited_sha256", text("own").alias("fingerprint"), text("changed").alias("edited_fingerprint"), near("own", "changed").alias("near_edited"), near("own", "after").alias("near_next"))
