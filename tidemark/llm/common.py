@@ -56,6 +56,13 @@ def keep_until_exit(spark: SparkSession, path: str) -> None:
     atexit.register(remove, spark, path)
 
 
+def bounded_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Whole texts go to Python in small Arrow batches; a setting other than Spark's default is left alone."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, rows)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet in the shared folder and reads it back: the lineage ends there and any executor can reread it."""
     spark = df.sparkSession

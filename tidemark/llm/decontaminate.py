@@ -21,7 +21,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.wordhash import P, WordHashes, mix
+from tidemark.llm.common import bounded_batches
+from tidemark.llm.wordhash import P, WordHashes, mix, tidy
 
 MASKS = ("11111", "111011", "110111", "1101101", "1011011")
 
@@ -111,7 +112,7 @@ def find_leak(h: np.ndarray, index: dict, percent: int, least_words: int) -> tup
 def _scan(shared, percent: int, least_words: int):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         index, hashes = shared.value, PlainHashes()
-        for s in batches:
+        for s in tidy(batches):
             rows = []
             for t in s:
                 got = find_leak(hashes.of(t.encode(errors="replace").lower().split()), index, percent, least_words) if isinstance(t, str) and index else None
@@ -125,6 +126,7 @@ def _scan(shared, percent: int, least_words: int):
 def with_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, least_words: int = 8, slice_words: int = 2_000_000) -> DataFrame:
     """docs with leak: a struct of item_id, n_equal, n_overlap, first_word, hits; item_id is null for clean documents."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     items = benchmark.where("item_id IS NOT NULL").select("item_id", "text")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     slices = max(1, -(-size // (2 * slice_words)))  # a word and its blank take two bytes at least

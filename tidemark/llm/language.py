@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import bounded_batches
-from tidemark.llm.wordhash import tidy
+from tidemark.llm.wordhash import tidy, trim
 
 GRAMS = (2, 3, 4)
 BLANK = bytes(0x20 if c in b" \t\n\x0b\x0c\r" else c for c in range(256))
@@ -75,7 +75,7 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, dim: int
         data, lo = normal(t), 0
         while lo < len(data) - 4:
             hi = lo + int(rng.integers(8, 400))
-            pieces.append(gram_ids(data[lo:hi], buckets)[1])
+            pieces.append(gram_ids(data[lo:hi], buckets)[1].astype(np.uint16 if buckets <= 1 << 16 else np.uint32))
             ys.append(y_of[label])
             lo = hi
     e = (rng.standard_normal((buckets, dim)) / dim).astype(np.float32)
@@ -183,7 +183,7 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0)) % 3 == 1
 
 
-def fit(docs: DataFrame, rows_per_lang: int = 400, max_bytes: int = 20_000, max_langs: int = 1000, **options) -> dict | None:
+def fit(docs: DataFrame, rows_per_lang: int = 250, max_bytes: int = 20_000, max_langs: int = 1000, **options) -> dict | None:
     """Trains on a bounded sample of the labelled rows that are not held out."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & (F.octet_length("text") <= max_bytes))
     n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
@@ -191,13 +191,15 @@ def fit(docs: DataFrame, rows_per_lang: int = 400, max_bytes: int = 20_000, max_
         raise ValueError(f"more than {max_langs} values of lang")
     if not n:
         return None
-    wanted = F.lit(False)
     place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(3)), F.lit(1_000_000_007))
-    for lang, k in n.items():
-        wanted = F.when(F.col("lang") == lang, place < int(1_000_000_007 * min(1.0, rows_per_lang / k))).otherwise(wanted)
+    bound = F.create_map(*(F.lit(x) for lang, k in sorted(n.items()) for x in (lang, int(1_000_000_007 * min(1.0, rows_per_lang / k)))))
+    wanted = place < F.element_at(bound, F.col("lang"))
     sample = sorted((r["doc_id"] or 0, r["lang"], r["text"]) for r in rows.where(wanted).select("doc_id", "lang", "text").collect())
     sample = [(lang, t) for _, lang, t in sample if any(map(str.isalpha, t))]
-    return train([t for _, t in sample], [lang for lang, _ in sample], **options)
+    model = train([t for _, t in sample], [lang for lang, _ in sample], **options)
+    del sample
+    trim()
+    return model
 
 
 def with_language(docs: DataFrame, **options) -> DataFrame:

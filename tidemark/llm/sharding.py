@@ -81,7 +81,7 @@ def _split(groups: DataFrame, nodes: list[dict], bins_bits: int, close: float) -
                 n |= {"from": at, "below": acc, "shift": n["shift"] - step}
 
 
-def kd_shards(docs: DataFrame, n_shards: int = 16, big: float = 0.02, bins_bits: int = 9) -> DataFrame:
+def kd_shards(docs: DataFrame, n_shards: int = 16, big: float = 0.05, bins_bits: int = 9) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null: the law `bytes` has none) for every row of docs."""
     spark = docs.sparkSession
     base = staged(_weights(docs), "weights")

@@ -2,17 +2,35 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 
 P = 0x9E3779B97F4A7C15
 P_INV = pow(P, -1, 1 << 64)
 
 
+def tidy(batches: Iterator) -> Iterator:
+    """Passes batches on; when they end the worker, which stays for other tasks, returns its free memory."""
+    yield from batches
+    trim()
+
+
+def trim() -> None:
+    """Gives free memory back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordHashes(dict):
     """64-bit hashes of words; a bounded cache that starts anew when it is full."""
 
-    def __init__(self, most: int = 150_000, seed: int = 0):
+    def __init__(self, most: int = 80_000, seed: int = 0):
         super().__init__()
         self.most, self.seed = most, seed
 
