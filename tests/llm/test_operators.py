@@ -192,7 +192,7 @@ def family(n, base=60):
     return out + [(n + i, f"{H.passage(100 + i, 30)} {shared}") for i in range(n // 2)]
 
 
-@pytest.mark.parametrize("options", [{}, {"rounds": 1, "short": 2, "block": 2000}, {"rounds": 1, "short": 10_000}])
+@pytest.mark.parametrize("options", [{}, {"rounds": 1, "short": 2, "block": 2000}, {"rounds": 2, "short": 2, "block": 40}, {"rounds": 1, "short": 10_000}])
 def test_near_duplicates_in_a_hot_group(spark, options):
     from tidemark.llm.neardup import near_duplicates
 
