@@ -48,7 +48,7 @@ def test_gate_refuses_ids_that_do_not_rise(spark, tmp_path):
 
 
 def test_presence_goes_online(spark, tmp_path):
-    spark.createDataFrame([("u1", 0), ("u2", 30_000)], "user_id string, ms long").select("user_id", F.timestamp_millis("ms").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "b"))
+    spark.createDataFrame([("u1", 1_000_000), ("u2", 1_030_000)], "user_id string, ms long").select("user_id", F.timestamp_millis("ms").alias("ts")).coalesce(1).write.parquet(str(tmp_path / "b"))
     beats = L.change_log(spark, str(tmp_path / "b"), spark.read.parquet(str(tmp_path / "b")).schema)
     got = drain(spark, L.presence(beats), "presence")
     assert {r.user for r in got if r.status == "Online"} == {"u1", "u2"}
