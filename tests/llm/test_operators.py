@@ -300,6 +300,19 @@ def test_substrings_odd(spark):
         assert {r.doc_id: r.kept for r in got.collect()} == want
 
 
+def test_substrings_with_half_a_hash_in_common(spark):
+    """Windows with one anchor whose 64-bit hashes agree in the lower 32 bits only are no copies."""
+    from tidemark.llm.passages import without_passages
+    from tidemark.llm.wordhash import WordHashes, windows
+
+    docs = [(i, f"{H.passage(60, 34)} {last}") for i, last in enumerate(("z143394", "z42830"))]
+    a, b = (int(windows(WordHashes().of(H.words(t)), 35)[0]) for _, t in docs)
+    assert a != b and a % 2**32 == b % 2**32
+    for parts in (1, 2):
+        got = without_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts, "doc_id")).collect()
+        assert {r.doc_id: r.kept for r in got} == dict(docs)
+
+
 # 7 urls
 
 
