@@ -439,6 +439,34 @@ def test_leaks(spark, slice_words):
     assert not any(r.contaminated for r in contamination(df, bench.limit(0)).collect())
 
 
+def test_leaks_with_substitutions():
+    """Whatever words are substituted: found exactly where enough of a stretch is equal, and with its most equal words."""
+    from itertools import combinations
+
+    from tidemark.llm.decontaminate import MASKS, build_index, find_leaks
+    from tidemark.llm.wordhash import WordHashes
+
+    hashes = WordHashes()
+
+    def most(same, percent=80):
+        cut = [same[a:b] for a in range(len(same)) for b in range(a + 1, len(same) + 1)]
+        return max((sum(c) for c in cut if 100 * sum(c) >= percent * len(c)), default=0)
+
+    for n in (5, 6, 7, 8, 9, 10, 12, 15, 20):
+        item = [f"i{k}" for k in range(n)]
+        index = build_index([(7, " ".join(item))])
+        gone = [set(c) for m in range(min(n // 5 + 2, 4)) for c in combinations(range(n), m)]
+        gone += [set(range(k, n, 5)) for k in range(5)]
+        docs = [hashes.of([b"a", b"b", *(b"x" if i in g else w.encode() for i, w in enumerate(item)), b"c"]) for g in gone]
+        for g, got in zip(gone, find_leaks(docs, index, 80, 8), strict=True):
+            equal = most([i not in g for i in range(n)])
+            assert (got and got[1]) == (equal if equal >= min(8, -(-4 * n // 5)) else None), (n, g)
+    for n in range(8, 20):
+        for g in (g for m in range(n // 5 + 1) for g in combinations(range(n), m) if n - m >= 8):
+            ones = {i for i in range(n) if i not in g}
+            assert any({i + k for i, c in enumerate(mask) if c == "1"} <= ones for mask in MASKS for k in range(n - len(mask) + 1))
+
+
 def test_leaks_on_tables(spark, sf):
     """All documents that hold a whole item word for word are found."""
     items = [H.words(r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]

@@ -1,11 +1,14 @@
 """Benchmark decontamination by spaced seeds: masked word windows are hashed and joined, hits are verified along their diagonal.
 
-Words `[^\\x20\\x09-\\x0D]+` are lower-cased (A-Z) and lose the ASCII punctuation around them. A mask has five positions that count; the positions between them are ignored, so a
-substitution there does not spoil the hit. Hashes of all masked windows of the benchmark items are joined with those of all documents: the
+Words `[^\x20\x09-\x0D]+` are lower-cased (A-Z) and lose the ASCII punctuation around them. A mask has five positions that count; the positions between them are ignored, so a
+substitution there does not spoil the hit. Any stretch of at least eight equal words with at least 80 of 100 words equal holds one of the
+masks, and so does an item of six to nine words with one substitution; items of five words have masks of four positions. Hashes of all
+masked windows of the benchmark items are joined with those of all documents: the
 items' hashes, of at most `slice_words` words at a time, go to all tasks, where a bitmap and a sorted search find the hits; a larger
 benchmark is joined in as many slices as it needs, which partition the items. A hit fixes the diagonal (word i of the item is word i + d of
-the document). Along it the best stretch with at least `percent` of 100 words equal is found; the document is contaminated where such a
-stretch has `least_words` equal words, or four fifths of an item that is shorter.
+the document). Along it the stretch with the most equal words is found, of those with at least `percent` of 100 words equal; the document is
+contaminated where it has `least_words` equal words, or four fifths of an item that is shorter. With a `percent` or `least_words` below
+80 and 8 a stretch may hold no mask.
 
 Defined results: null and empty texts are clean; items of one to four words are compared by all their words; an empty benchmark leaves all
 clean; of equal overlaps the smallest item_id is reported; repeated rows have equal results; other columns are kept by `with_leaks`.
@@ -24,7 +27,13 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import bounded_batches
 from tidemark.llm.wordhash import P, WordHashes, mix, tidy
 
-MASKS = ("11111", "111011", "110111", "1101101", "1011011")
+#: Every 0-1 string with eight ones at least, and four fifths ones, holds one of these: of 20 or more signs one half is such a string again,
+#: and of those with up to 19 signs all are tested.
+MASKS = ("11111", "101111", "110111", "111011", "111101", "11001011")
+#: One word of five may differ.
+OF_FIVE = ("1111", "10111", "11011", "11101")
+#: A factor for each place in a mask.
+PLACES = mix(np.arange(1, 9, dtype=np.uint64) * np.uint64(P)) | np.uint64(1)
 
 
 class PlainHashes(WordHashes):
@@ -39,30 +48,33 @@ class PlainHashes(WordHashes):
         return super().__missing__(word)
 
 
-def _masked(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks for an item of n words."""
+    return MASKS if n > 5 else OF_FIVE if n == 5 else ("1" * n,) if n else ()
+
+
+def _masked(h: np.ndarray, mask: str) -> np.ndarray:
     m = len(h) - len(mask) + 1
     if m < 1:
         return h[:0]
-    out = np.full(m, salt, dtype=np.uint64)
+    out = np.full(m, len(mask), dtype=np.uint64)
     for j, c in enumerate(mask):
         if c == "1":
-            out = out * np.uint64(P) + h[j : j + m]
-    return mix(out)
+            out += h[j : j + m] * PLACES[j]
+    return out
 
 
 def build_index(items: list[tuple[int, str]]) -> dict | None:
     """Sorted seed hashes of items, with the item and place of each, and a bitmap of them."""
-    hashes, words, seeds = PlainHashes(), [], []
-    masks = list(MASKS)
+    hashes, words, seeds, masks = PlainHashes(), [], [], []
     for i, (_, text) in enumerate(items):
         h = hashes.of((text or "").encode(errors="replace").lower().split())
         words.append(h)
-        if 0 < len(h) < 5 and "1" * len(h) not in masks:
-            masks.append("1" * len(h))
-        for k, mask in enumerate(masks):
-            if len(mask) >= 5 or len(mask) == len(h):
-                g = _masked(h, mask, k)
-                seeds.append(np.stack([g, np.full(len(g), i, np.uint64), np.arange(len(g), dtype=np.uint64)]))
+        for mask in masks_of(len(h)):
+            if mask not in masks:
+                masks.append(mask)
+            g = _masked(h, mask)
+            seeds.append(np.stack([g, np.full(len(g), i, np.uint64), np.arange(len(g), dtype=np.uint64)]))
     if not seeds or not sum(s.shape[1] for s in seeds):
         return None
     s = np.concatenate(seeds, axis=1)
@@ -74,50 +86,70 @@ def build_index(items: list[tuple[int, str]]) -> dict | None:
 
 
 def best_stretch(same: np.ndarray, percent: int) -> tuple[int, int, int]:
-    """(equal words, first, last + 1) of the stretch with the largest sum of +(100 - percent) for equal and -percent for unequal words."""
+    """(equal words, first, last + 1) of the stretch with the most equal words of those with at least percent of 100 words equal."""
     s = np.concatenate([[0], np.cumsum(np.where(same, 100 - percent, -percent))])
-    low = np.minimum.accumulate(s)
-    hi = int(np.argmax(s - low))
-    lo = int(np.flatnonzero(s[: hi + 1] == low[hi])[-1])
-    return int(same[lo:hi].sum()), lo, hi
-
-
-def find_leak(h: np.ndarray, index: dict, percent: int, least_words: int) -> tuple | None:
-    """(item_id, equal words, words of the stretch, first word in the document, hits) of the largest overlap, or None."""
-    found, hits = [], 0
-    for k, mask in enumerate(index["masks"]):
-        g = _masked(h, mask, k)
+    equal = np.concatenate([[0], np.cumsum(same)])
+    # a stretch from lo to hi is good where s[lo] <= s[hi], and the least lo is where the minimum so far first gets there
+    first = np.searchsorted(-np.minimum.accumulate(s), -s)
+    n = equal - equal[first]
+    hi = int(np.argmax(n))
+    lo = int(first[hi])
+    if n[hi]:
+        lo += int(np.argmax(same[lo:hi]))
+    return int(n[hi]), lo, hi
+
+
+def find_leaks(docs: list[np.ndarray], index: dict, percent: int, least_words: int) -> list[tuple | None]:
+    """(item_id, equal words, words of the stretch, first word in the document, hits) of the largest overlap of each document, or None."""
+    out: list[tuple | None] = [None] * len(docs)
+    h = np.concatenate([np.zeros(0, np.uint64), *docs])
+    ends = np.cumsum([len(d) for d in docs])
+    found = []
+    for mask in index["masks"]:
+        g = _masked(h, mask)
         at = np.flatnonzero(index["bitmap"][g >> np.uint64(index["shift"])])
-        if not len(at):
-            continue
+        doc = np.searchsorted(ends, at, side="right")
+        inside = at + len(mask) <= ends[doc]
+        at, doc = at[inside], doc[inside]
         lo, hi = np.searchsorted(index["h"], g[at]), np.searchsorted(index["h"], g[at], side="right")
         n = hi - lo
-        hits += int(n.sum())
         if n.any():
             row = np.repeat(lo - np.cumsum(n) + n, n) + np.arange(n.sum())
-            found.append(np.stack([index["item"][row], np.repeat(at, n) - index["at"][row]]))
+            found.append(np.stack([np.repeat(doc, n), index["item"][row], np.repeat(at, n) - index["at"][row]]))
     if not found:
-        return None
-    best = None
-    for item, d in np.unique(np.concatenate(found, axis=1), axis=1).T.tolist():
-        w = index["words"][item]
-        lo, hi = max(0, -d), min(len(w), len(h) - d)
-        equal, a, b = best_stretch(w[lo:hi] == h[lo + d : hi + d], percent)
+        return out
+    hit = np.concatenate(found, axis=1)
+    hits = np.bincount(hit[0], minlength=len(docs)).tolist()
+    hit = hit[:, np.lexsort((hit[2], hit[1], hit[0]))]
+    new = np.ones(hit.shape[1], dtype=bool)
+    new[1:] = (hit[:, 1:] != hit[:, :-1]).any(axis=0)
+    best: dict[int, tuple] = {}
+    for doc, item, d in hit[:, new].T.tolist():
+        w, own = index["words"][item], docs[doc]
+        d -= int(ends[doc]) - len(own)
+        lo, hi = max(0, -d), min(len(w), len(own) - d)
+        equal, a, b = best_stretch(w[lo:hi] == own[lo + d : hi + d], percent)
         if equal >= min(least_words, -(-len(w) * percent // 100)):
             one = (-equal, index["ids"][item], b - a, a + lo + d)
-            best = one if best is None or one < best else best
-    return best and (best[1], -best[0], best[2], best[3], hits)
+            best[doc] = min(best.get(doc, one), one)
+    for doc, one in best.items():
+        out[doc] = (one[1], -one[0], one[2], one[3], hits[doc])
+    return out
 
 
 def _scan(shared, percent: int, least_words: int):
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         index, hashes = shared.value, PlainHashes()
         for s in tidy(batches):
-            rows = []
-            for t in s:
-                got = find_leak(hashes.of(t.encode(errors="replace").lower().split()), index, percent, least_words) if isinstance(t, str) and index else None
-                rows.append(got or (None, 0, 0, None, 0))
-            out = pd.DataFrame(rows, columns=["item_id", "n_equal", "n_overlap", "first_word", "hits"])
+            rows, held, size = [], [], 0
+            for t in s if index else ():
+                held.append(hashes.of(t.encode(errors="replace").lower().split()) if isinstance(t, str) else np.zeros(0, np.uint64))
+                size += len(held[-1])
+                if size >= 50_000:
+                    rows += find_leaks(held, index, percent, least_words)
+                    held, size = [], 0
+            rows += find_leaks(held, index, percent, least_words) if held else []
+            out = pd.DataFrame([x or (None, 0, 0, None, 0) for x in (rows or [None] * len(s))], columns=["item_id", "n_equal", "n_overlap", "first_word", "hits"])
             yield out.astype({"item_id": "Int64", "first_word": "Int64"})
 
     return F.pandas_udf(run, "item_id long, n_equal long, n_overlap long, first_word long, hits long")
