@@ -274,6 +274,24 @@ def test_language_learns_only_from_its_fold(spark, sf):
     assert a["langs"] == b["langs"] and np.array_equal(a["table"], b["table"])
 
 
+UNLEARNED = (
+    "Wczoraj wieczorem poszliśmy nad rzekę, żeby zobaczyć zachód słońca. Było bardzo zimno.", "Eilen illalla menimme joelle katsomaan auringonlaskua. Oli todella kylmä.",
+    "Вчера вечером мы пошли к реке, чтобы посмотреть закат. Было очень холодно.", "昨天晚上我们去河边看日落。天气很冷。", "Χθες το βράδυ πήγαμε στο ποτάμι για να δούμε το ηλιοβασίλεμα.",
+    "Dün akşam gün batımını izlemek için nehre gittik. Hava çok soğuktu.", "asdf qwer zxcv jkl; wqeoiru zmxncb qpwoei alskdj fghvbn",
+)
+
+
+def test_unlearned_languages_are_rejected(spark, sf):
+    from tidemark.llm.language import predict_language
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "lang")
+    new = spark.createDataFrame([(-1 - i, t, None) for i, t in enumerate(UNLEARNED)], "doc_id long, text string, lang string")
+    got = predict_language(docs.unionByName(new)).collect()
+    assert {r.doc_id: r.rejected for r in got if r.doc_id < 0} == {-1 - i: True for i in range(len(UNLEARNED))}
+    held = [r for r in got if r.held_out and r.doc_id >= 0]
+    assert len(held) > 40 and sum(r.rejected for r in held) <= 0.02 * len(held)
+
+
 # 6 substrings
 
 

@@ -7,8 +7,11 @@ multiplied with the softmax weights once: a text's logits are then the mean of a
 matrix product.
 
 The sample: of the labelled rows allowed for training, about `rows_per_lang` of each language (chosen by a hash of the id) with at most
-`max_bytes` bytes. A tenth of them is kept out of training and fits the temperature and the score below which a text is
-rejected (the `reject` quantile of the scores of right answers, never above 0.4, and less where fewer than 100 texts were kept).
+`max_bytes` bytes. A tenth of them is kept out of training; its pieces fit the temperature and the least score.
+
+A softmax is sure of texts in no learned language too, so rejection also goes by the share of a text's subwords that the sample has. What
+share is usual is learned from pieces of all sampled texts: the share of a piece's subwords that some other sampled text
+has. A text is rejected where its share is below the `reject` quantile of the pieces, or its score below that of right answers.
 
 Defined results: null text, and text without a letter, is `und` with score 0 and rejected; if nothing was learned everything is; null
 doc_id counts as crc32 remainder 0; repeated rows have equal results; an empty table gives no rows; other columns are ignored.
@@ -61,7 +64,7 @@ def normal(text: str) -> bytes:
 
 
 def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, dim: int = 12, steps: int = 1500, rate: float = 1.0, seed: int = 5, reject: float = 0.001) -> dict | None:
-    """The model: {langs, table (buckets x langs), bias, temperature, least}."""
+    """The model: {langs, table (buckets x langs), bias, temperature, least, seen (by bucket), usual (least share of seen subwords)}."""
     langs = sorted(set(labels))
     if not langs:
         return None
@@ -72,12 +75,9 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, dim: int
     for t, label, out in zip(texts, labels, held, strict=True):
         if out:
             continue
-        data, lo = normal(t), 0
-        while lo < len(data) - 4:
-            hi = lo + int(rng.integers(8, 400))
-            pieces.append(gram_ids(data[lo:hi], buckets)[1].astype(np.uint16 if buckets <= 1 << 16 else np.uint32))
+        for piece in cut(normal(t), lambda: int(rng.integers(8, 400))):
+            pieces.append(gram_ids(piece, buckets)[1].astype(np.uint16 if buckets <= 1 << 16 else np.uint32))
             ys.append(y_of[label])
-            lo = hi
     e = (rng.standard_normal((buckets, dim)) / dim).astype(np.float32)
     w, bias = np.zeros((dim, len(langs)), dtype=np.float32), np.zeros(len(langs), dtype=np.float32)
     ys = np.array(ys, dtype=np.int64)
@@ -107,28 +107,58 @@ def train(texts: list[str], labels: list[str], buckets: int = 1 << 16, dim: int
             for d in range(dim):
                 e[uniq, d] -= lr * len(pick) * np.bincount(inv, weights=back[rows, d], minlength=len(uniq)).astype(np.float32)
             step += 1
-    model = {"langs": langs, "table": (e @ w).astype(np.float32), "bias": bias, "temperature": 1.0, "least": 0.0}
-    calib = [(t, y_of[x]) for t, x, out in zip(texts, labels, held, strict=True) if out]
+    seen, usual = familiar(texts, buckets, reject)
+    model = {"langs": langs, "table": (e @ w).astype(np.float32), "bias": bias, "temperature": 1.0, "least": 0.0, "seen": seen, "usual": usual}
+    sizes = np.random.default_rng(seed + 1)
+    calib = [(piece.decode(errors="replace"), y_of[x]) for t, x, out in zip(texts, labels, held, strict=True) if out for piece in cut(normal(t), lambda: int(sizes.integers(8, 400)))]
     if calib:
-        z, y = logits([t for t, _ in calib], model), np.array([k for _, k in calib])
-        loss = lambda s: -np.log(np.maximum(softmax(z / s)[np.arange(len(y)), y], 1e-12)).mean()
+        z, y = logits([t for t, _ in calib], model)[0], np.array([k for _, k in calib])
+        # one right and one wrong answer more than there are (Platt), so that no score is certain
+        doubt = 1 / (len(y) + 2)
+        target = np.full(z.shape, doubt / max(1, len(langs) - 1))
+        target[np.arange(len(y)), y] = 1 - doubt
+        loss = lambda s: -(target * np.log(np.maximum(softmax(z / s), 1e-12))).sum(1).mean()
         model["temperature"] = float(min(np.geomspace(0.05, 5, 60), key=loss))
         p = softmax(z / model["temperature"])
         right = p.max(1)[p.argmax(1) == y]
-        # few texts say little about the tail: below 100 of them the bound shrinks with their number
-        model["least"] = float(min(0.4, np.quantile(right, reject)) * min(1.0, len(right) / 100)) if len(right) else 0.0
+        model["least"] = float(np.quantile(right, reject, method="lower")) if len(right) else 0.0
     return model
 
 
+def cut(data: bytes, size) -> Iterator[bytes]:
+    """Pieces of size() bytes each."""
+    lo = 0
+    while lo < len(data) - 4:
+        hi = lo + size()
+        yield data[lo:hi]
+        lo = hi
+
+
+def familiar(texts: list[str], buckets: int, reject: float) -> tuple[np.ndarray, float]:
+    """(1 for each bucket with a subword of the texts, the least usual share of such subwords)."""
+    rng = np.random.default_rng(7)
+    data = [normal(t) for t in sorted(set(texts))]
+    n_texts = np.zeros(buckets, dtype=np.int32)
+    for x in data:
+        n_texts[np.unique(gram_ids(x, buckets)[1])] += 1
+    shares = []
+    for x in data:
+        for piece in cut(x, lambda: int(2 ** rng.uniform(3, 12))):
+            ids = gram_ids(piece, buckets)[1]
+            if len(ids):
+                shares.append((n_texts[ids] > 1).mean())
+    return (n_texts > 0).astype(np.float32), float(np.quantile(shares, reject, method="lower")) if shares else 0.0
+
+
 def softmax(z: np.ndarray) -> np.ndarray:
     p = np.exp(z - z.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
 
-def logits(texts: list[str], model: dict, chunk: int = 1_000_000) -> np.ndarray:
-    """Mean contributions of the subwords of each whole text; work arrays are bounded by `chunk` numbers."""
+def logits(texts: list[str], model: dict, chunk: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+    """Mean contributions of the subwords of each whole text, and whether it is unfamiliar; work arrays are bounded by `chunk` numbers."""
     table, c = model["table"], len(model["langs"])
-    total, count = np.zeros((len(texts), c)), np.zeros(len(texts))
+    total, count, seen = np.zeros((len(texts), c)), np.zeros(len(texts)), np.zeros(len(texts))
     step = max(1000, chunk // c)
     held, owners, size = [], [], 0
 
@@ -141,6 +171,7 @@ def logits(texts: list[str], model: dict, chunk: int = 1_000_000) -> np.ndarray:
         who = np.array(owners)[np.searchsorted(ends, at, side="right")]
         for k in range(c):
             total[:, k] += np.bincount(who, weights=table[ids, k], minlength=len(texts))
+        seen[:] += np.bincount(who, weights=model["seen"][ids], minlength=len(texts))
         count[:] += np.bincount(who, minlength=len(texts))
         held, owners, size = [], [], 0
 
@@ -159,7 +190,8 @@ def logits(texts: list[str], model: dict, chunk: int = 1_000_000) -> np.ndarray:
                 flush()
     if held:
         flush()
-    return total / np.maximum(count, 1)[:, None] + model["bias"]
+    count = np.maximum(count, 1)
+    return total / count[:, None] + model["bias"], seen / count < model["usual"]
 
 
 def _predict(shared):
@@ -171,9 +203,10 @@ def _predict(shared):
             lang, score, rejected = ["und"] * len(texts), [0.0] * len(texts), [True] * len(texts)
             for lo in range(0, len(some), 256):
                 part = some[lo : lo + 256]
-                p = softmax(logits([texts[i] for i in part], model) / model["temperature"])
-                for i, k, v in zip(part, p.argmax(1).tolist(), p.max(1).tolist(), strict=True):
-                    lang[i], score[i], rejected[i] = model["langs"][k], min(1.0, v), v < model["least"]
+                z, strange = logits([texts[i] for i in part], model)
+                p = softmax(z / model["temperature"])
+                for i, k, v, new in zip(part, p.argmax(1).tolist(), p.max(1).tolist(), strange.tolist(), strict=True):
+                    lang[i], score[i], rejected[i] = model["langs"][k], min(1.0, v), new or v < model["least"]
             yield pd.DataFrame({"lang_pred": lang, "score": score, "rejected": rejected})
 
     return F.pandas_udf(run, "lang_pred string, score double, rejected boolean")
