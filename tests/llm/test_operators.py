@@ -318,19 +318,57 @@ def test_substrings_odd(spark):
         assert {r.doc_id: r.kept for r in got.collect()} == want
 
 
-def test_substrings_with_half_a_hash_in_common(spark):
-    """Windows with one anchor whose 64-bit hashes agree in the lower 32 bits only are no copies."""
+HALF_ALIKE = ("z1008", "z595464")
+
+
+def test_candidates_that_only_hashes_make_are_kept(spark):
+    """Windows with one anchor that agree in the 32 bits that travel are candidates; the automata find each in one place only."""
     from tidemark.llm.passages import without_passages
     from tidemark.llm.wordhash import WordHashes, windows
 
-    docs = [(i, f"{H.passage(60, 34)} {last}") for i, last in enumerate(("z143394", "z42830"))]
+    docs = [(i, f"{H.passage(60, 34)} {last}") for i, last in enumerate(HALF_ALIKE)]
     a, b = (int(windows(WordHashes().of(H.words(t)), 35)[0]) for _, t in docs)
-    assert a != b and a % 2**32 == b % 2**32
+    assert a != b and a >> 32 == b >> 32
     for parts in (1, 2):
         got = without_passages(spark.createDataFrame(docs, "doc_id long, text string").repartition(parts, "doc_id")).collect()
         assert {r.doc_id: r.kept for r in got} == dict(docs)
 
 
+def random_texts(n, size, shared, seed=5):
+    rng = np.random.default_rng(seed)
+    return [(i, " ".join([*(f"a{x}" for x in rng.integers(0, 1 << 40, size)), shared, *(f"b{x}" for x in rng.integers(0, 1 << 40, size))])) for i in range(n)]
+
+
+@pytest.mark.parametrize("options", [{}, {"most": 500, "shard_words": 300}])
+def test_texts_around_one_phrase_lose_nothing(spark, options):
+    """20,000 texts share six words and no window; then a few of them are there twice in part."""
+    from tidemark.llm.passages import without_passages
+
+    docs = random_texts(20_000 if not options else 2_000, 40, "one two three four five six")
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3, "doc_id")
+    assert without_passages(df, **options).agg(F.sum("n_removed")).first()[0] == 0
+    some = docs[:300] + [(10_000_000 + d, "new start " + " ".join(t.split()[20 : 40 + d % 40]) + f" end{d}") for d, t in docs[:60]]
+    got = without_passages(spark.createDataFrame(some, "doc_id long, text string").repartition(3, "doc_id"), **options).collect()
+    assert {r.doc_id: r.kept for r in got} == {d: b" ".join(kept).decode() for d, _, kept in H.removed_words(some)}
+    assert sum(r.n_removed for r in got) > 1000
+
+
+def test_automata_decide(monkeypatch):
+    """What the automata don't find stays; branching passages, each in one place only, give up the windows that they share."""
+    from tidemark.llm import passages
+
+    x, u, w, y, v = (H.passage(k, 12).split() for k in (70, 71, 72, 73, 74))
+    texts = [[t.encode() for t in words] for words in (x + w + y, u + w + v, x + u, y, v + v)]
+    want = [[(12, 24)], [(12, 24)]]
+    got = [passages._merged(s) for s in passages.recurring(texts, [1] * 5, 12)]
+    assert [list(map(tuple, s)) for s in got] == [[(0, 36)], [(0, 36)], [(0, 24)], [(0, 12)], [(0, 24)]]
+    got = [passages._merged(s) for s in passages.recurring(texts[:2], [1, 1], 12)]
+    assert [list(map(tuple, s)) for s in got] == want
+    assert passages.recurring(texts[:1], [2], 12)[0] == [(0, 36)] and passages.recurring(texts[:1], [1], 12) == [[]]
+    monkeypatch.setattr(passages, "find_all", lambda *_: [])
+    assert passages.recurring(texts, [1] * 5, 12) == [[]] * 5
+
+
 # 7 urls
 
 
