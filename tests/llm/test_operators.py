@@ -372,6 +372,16 @@ def test_automata_decide(monkeypatch):
 # 7 urls
 
 
+def plain_url(u):
+    if u is None or "://" not in u:
+        return "", ""
+    rest = u.split("://", 1)[1]
+    end = min([rest.index(c) for c in "/?#" if c in rest] + [len(rest)])
+    path = rest[end:]
+    cut = min([path.index(c) for c in "?#" if c in path] + [len(path)])
+    return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:end]), path[:cut]
+
+
 def test_urls(spark):
     from tidemark.llm.urlfilter import RULES, judge
 
@@ -383,17 +393,8 @@ def test_urls(spark):
     got = {r.page_id: r for r in judge(pages).collect()}
     assert len(got) == len(urls) + 1
 
-    def plain(u):
-        if u is None or "://" not in u:
-            return "", ""
-        rest = u.split("://", 1)[1]
-        end = min([rest.index(c) for c in "/?#" if c in rest] + [len(rest)])
-        path = rest[end:]
-        cut = min([path.index(c) for c in "?#" if c in path] + [len(path)])
-        return "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in rest[:end]), path[:cut]
-
     for i, u in enumerate(urls):
-        host, path = plain(u)
+        host, path = plain_url(u)
         fits = [(len(h + p), h + p, v) for v, h, p in RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
         best = max(fits, default=None)
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, best and best[1])
@@ -411,8 +412,98 @@ def test_url_templates_are_learned(spark):
     assert len({r.template for r in got}) == 2
 
 
+def plain_urls(rows, labels, rules, max_children=16, min_share=0.05, strength=4.0, threshold=0.5):
+    """{page_id: (rule, verdict, template, share)}, level by level as the method says."""
+    import re
+
+    from tidemark.llm.urlfilter import RULES
+
+    pages = []
+    for d, u in rows:
+        host, path = plain_url(u)
+        best = max([(len(h + p), h + p, v) for v, h, p in (RULES if rules is None else rules) if (host == h or host.endswith("." + h)) and path.startswith(p)], default=None)
+        segs = [s if s[:1] != "*" else "*" + s for s in re.sub("[0-9]+", "#", path).split("/") if s]
+        bad = (best is not None and best[2] == "block") if labels is None else labels.get(d)
+        pages.append([d, host, segs, best, bad])
+    known = [p[4] for p in pages if p[4] is not None]
+    prior = (sum(known) + 1) / (len(known) + 2) if known else 0.0
+    out = {}
+
+    def smooth(group, towards):
+        marks = [p[4] for p in group if p[4] is not None]
+        return (sum(marks) + strength * towards) / (len(marks) + strength)
+
+    def walk(group, depth, template, share):
+        kids = defaultdict(list)
+        for p in group:
+            if len(p[2]) == depth:
+                verdict = p[3][2] if p[3] else "block" if share > threshold else "allow"
+                out[p[0]] = (p[3] and p[3][1], verdict, template, share)
+            else:
+                kids[p[2][depth]].append(p)
+        every = [p for k in kids.values() for p in k]
+        marks = [p[4] for p in every if p[4] is not None]
+        rate = sum(marks) / max(1, len(marks))
+        named = defaultdict(list)
+        for s, k in kids.items():
+            own = [p[4] for p in k if p[4] is not None]
+            alike = len(own) < 2 or abs(sum(own) / len(own) - rate) <= 1.96 * (rate * (1 - rate) / len(own)) ** 0.5
+            variable = len(kids) > max_children and len(k) < min_share * len(every)
+            named["*" if variable or (len(kids) > 1 and alike) else s] += k
+        for s, k in named.items():
+            walk(k, depth + 1, f"{template}/{s}", smooth(k, share))
+
+    hosts = defaultdict(list)
+    for p in pages:
+        hosts[p[1]].append(p)
+    for host, group in hosts.items():
+        walk(group, 0, host, smooth(group, prior))
+    return out
+
+
+def check_urls(spark, rows, labels, rules):
+    from tidemark.llm.urlfilter import RULES, judge
+
+    known = None if labels is None else spark.createDataFrame(list(labels.items()), "page_id long, bad boolean")
+    got = judge(spark.createDataFrame(rows, "page_id long, url string"), rules=RULES if rules is None else rules, labels=known).collect()
+    want = plain_urls(rows, labels, rules)
+    assert len(got) == len(rows)
+    for r in got:
+        rule, verdict, template, share = want[r.page_id]
+        assert (r.rule, r.template) == (rule, template) and abs(r.bad_share - share) < 1e-9
+        assert r.verdict == verdict or abs(share - 0.5) < 1e-9
+
+
+def test_url_trees_level_by_level(spark):
+    rng = np.random.default_rng(11)
+    segs = ["a", "b", "*", "**", "x1", "x22", "item-7", "c", "news", "spam"]
+    rows = []
+    for i in range(600):
+        depth = int(rng.integers(0, 13))
+        start = ["long", "way", "to", "go"] if i % 5 == 0 else []
+        rows.append((i, f"http://{['h.test', 'k.org'][i % 2]}/" + "/".join(start + [segs[int(x)] for x in rng.integers(0, len(segs), depth) ** 2 // len(segs)])))
+    rows += [(1000 + i, f"http://many.test/v{chr(97 + i % 26)}{chr(97 + i // 26)}/p{i}") for i in range(120)] + [(2000, "http://deep.test" + "/s" * 300), (2001, None)]
+    check_urls(spark, rows, {i: bool("spam" in u or rng.random() < 0.2) for i, u in rows[:500]}, ())
+    check_urls(spark, rows, None, None)
+
+
+def test_url_plans_do_not_grow_with_the_depth(spark):
+    from tidemark.llm.urlfilter import judge
+
+    def nodes(depth):
+        rows = [(i, "http://h.test/" + "/".join(f"{'ab'[i >> d & 1]}" for d in range(depth))) for i in range(1 << min(depth, 6))]
+        return judge(spark.createDataFrame(rows, "page_id long, url string"))._jdf.queryExecution().executedPlan().toString().count("HashAggregate")
+
+    assert nodes(6) - nodes(4) <= 2 * 4
+
+
 def test_urls_on_tables(spark, sf):
-    assert Q.op7_url_filter(spark, sf).count() == spark.read.parquet(f"{sf}/pages.parquet").count()
+    rows = [(r.page_id, r.url) for r in spark.read.parquet(f"{sf}/pages.parquet").collect()]
+    want = plain_urls(rows, None, None)
+    got = Q.op7_url_filter(spark, sf).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        assert (r.rule, r.template) == (want[r.page_id][0], want[r.page_id][2]) and (r.verdict == want[r.page_id][1] or abs(r.bad_share - 0.5) < 1e-9)
 
 
 # 8 token ids

@@ -1,13 +1,16 @@
 """URL filters: path templates per host in a tree, with variable segments and similar branches as wildcards, judged by labelled purity.
 
-Each path is split into segments; digits in a segment count as one `#`. The tree of a host grows level by level:
+Each path is split into segments; digits in a segment count as one `#`, and a segment that begins with `*` gets one more, so that a plain `*`
+is always a wildcard. The tree of a host grows level by level, to the deepest path:
 - A segment is variable where its parent has more than `max_children` different ones and it has less than `min_share` of the
   parent's pages; variable segments become `*`.
 - Of the others, a branch whose share of labelled bad pages does not differ from its siblings' (two-sided test at 1.96 standard errors, or
   fewer than two labels) joins the wildcard branch too; a branch that differs keeps its name.
 - Every template's bad share is smoothed towards its parent's, the host's towards the share of all labelled pages.
-A page is rejected where the smoothed bad share of its deepest template is above `threshold`. Segments beyond `max_depth` levels share the
-template of their last level.
+A page is rejected where the smoothed bad share of its deepest template is above `threshold`.
+
+A template whose paths all go on alike has one child, which keeps its name: such a stretch is walked in one step, in which the share
+approaches that of its labels by a power. So there is one step, written to the shared folder, for each level at which paths part.
 
 Rules (verdict, host, path) come first: a rule fits its host and all subdomains where the path starts with the rule's; the longest fitting
 rule (host and path together) wins. Unless labels are given, pages that a rule blocks are labelled bad and all others good.
@@ -20,9 +23,13 @@ null page_id is a value like any other; repeated rows are judged alike; an empty
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tidemark.llm.common import staged
+
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
 
 
@@ -46,7 +53,7 @@ def rule_of(host: Column, path: Column, rules) -> Column:
     return out
 
 
-def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, max_children: int = 16, min_share: float = 0.05, strength: float = 4.0, threshold: float = 0.5, max_depth: int = 8) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, max_children: int = 16, min_share: float = 0.05, strength: float = 4.0, threshold: float = 0.5) -> DataFrame:
     """page_id, host, path, rule, verdict, template, bad_share for every row of pages. labels: (page_id, bad)."""
     p = pages.select("page_id", "url").select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     p = p.withColumn("fit", rule_of(F.col("host"), F.col("path"), rules))
@@ -57,25 +64,43 @@ def judge(pages: DataFrame, rules=RULES, labels: DataFrame | None = None, max_ch
         p = p.join(known, "page_id", "left")
     # one row for each distinct host and shape of path
     segments = F.filter(F.split(F.regexp_replace("path", r"[0-9]+", "#"), "/"), lambda s: s != "")
-    p = p.withColumn("shape", F.concat_ws("/", segments))
+    p = p.withColumn("shape", F.concat_ws("/", F.transform(segments, lambda s: F.when(s.startswith("*"), F.concat(F.lit("*"), s)).otherwise(s))))
     shapes = p.groupBy("host", "shape").agg(F.count(F.lit(1)).alias("n"), F.count("bad").alias("labelled"), F.sum(F.coalesce("bad", F.lit(0))).alias("bad"))
-    shapes = shapes.withColumn("seg", F.when(F.col("shape") == "", F.array().cast("array<string>")).otherwise(F.split("shape", "/")))
-    depth, lab, bad = shapes.agg(F.max(F.size("seg")), F.sum("labelled"), F.sum("bad")).first()
-    prior = (bad + 1) / (lab + 2) if lab else 0.0
+    shapes = staged(shapes, "shapes")
+    labelled, bad = shapes.agg(F.sum("labelled"), F.sum("bad")).first()
+    prior = (bad + 1) / (labelled + 2) if labelled else 0.0
     smooth = lambda towards: (F.sum("bad") + F.lit(strength) * towards) / (F.sum("labelled") + F.lit(strength))
-    hosts = shapes.groupBy("host").agg(smooth(F.lit(prior)).alias("share")).withColumnRenamed("host", "template")
-    tree = shapes.withColumn("template", F.col("host")).join(hosts, "template")
-    for d in range(min(depth or 0, max_depth)):
-        tree = _level(tree, d, max_children, min_share, smooth)
-    out = p.join(tree.select("host", "shape", "template", "share"), ["host", "shape"])
+    hosts = shapes.groupBy("host").agg(smooth(F.lit(prior)).alias("share"))
+    rest = F.when(F.col("shape") == "", F.array().cast("array<string>")).otherwise(F.split("shape", "/"))
+    now = staged(shapes.withColumn("rest", rest).withColumn("template", F.col("host")).join(hosts, "host"), "tree")
+    ended = []
+    while True:
+        ended.append(now.where("size(rest) = 0").select("host", "shape", "template", "share"))
+        now = now.where("size(rest) > 0")
+        if not now.limit(1).count():
+            break
+        now = staged(_branch(_stretch(now, strength), max_children, min_share, smooth), "tree")
+    tree = reduce(DataFrame.union, ended)
+    out = p.join(tree, ["host", "shape"])
     method = F.when(F.col("share") > threshold, "block").otherwise("allow")
     return out.select("page_id", "host", "path", F.col("fit.rule").alias("rule"), F.coalesce(F.col("fit.verdict"), method).alias("verdict"), "template", F.col("share").alias("bad_share"))
 
 
-def _level(tree: DataFrame, d: int, max_children: int, min_share: float, smooth) -> DataFrame:
-    """Names the branch of every shape at level d and smooths its bad share towards its parent's."""
-    seg = F.get("seg", F.lit(d))
-    now = tree.withColumn("s", seg)
+def _stretch(tree: DataFrame, strength: float) -> DataFrame:
+    """Walks on as long as all paths of a template go on alike: the start that the first and the last of them in order have in common."""
+    of = tree.groupBy("template").agg(F.min("rest").alias("one"), F.max("rest").alias("two"), F.sum("labelled").alias("tl"), F.sum("bad").alias("tb"))
+    unlike = F.array_position(F.zip_with("one", "two", lambda x, y: x.eqNullSafe(y)), False)
+    of = of.select("template", "tl", "tb", F.when(unlike == 0, F.size("one")).otherwise(unlike - 1).cast("int").alias("k"))
+    t = tree.join(of, "template")
+    own = F.col("tb") / F.col("tl")
+    share = F.when(F.col("tl") > 0, own + (F.col("share") - own) * F.pow(F.lit(strength) / (F.col("tl") + F.lit(strength)), F.col("k"))).otherwise(F.col("share"))
+    template = F.concat_ws("/", "template", F.slice("rest", F.lit(1), F.col("k")))
+    return t.select("host", "shape", "n", "labelled", "bad", F.slice("rest", F.col("k") + 1, F.size("rest")).alias("rest"), template.alias("template"), share.alias("share"))
+
+
+def _branch(tree: DataFrame, max_children: int, min_share: float, smooth) -> DataFrame:
+    """Names the next branch of every path and smooths its bad share towards its parent's."""
+    now = tree.withColumn("s", F.get("rest", F.lit(0)))
     kids = now.where("s IS NOT NULL").groupBy("template", "s").agg(F.sum("n").alias("kn"), F.sum("labelled").alias("kl"), F.sum("bad").alias("kb"))
     whole = kids.groupBy("template").agg(F.count(F.lit(1)).alias("c"), F.sum("kn").alias("tn"), F.sum("kl").alias("tl"), F.sum("kb").alias("tb"))
     k = kids.join(whole, "template")
@@ -84,8 +109,8 @@ def _level(tree: DataFrame, d: int, max_children: int, min_share: float, smooth)
     alike = (F.col("kl") < 2) | (F.abs(F.col("kb") / F.greatest("kl", F.lit(1)) - rate) <= 1.96 * spread)
     variable = (F.col("c") > max_children) & (F.col("kn") < F.lit(min_share) * F.col("tn"))
     k = k.select("template", "s", F.when(variable | ((F.col("c") > 1) & alike), "*").otherwise(F.col("s")).alias("branch"))
-    named = now.join(k, ["template", "s"], "left")
-    named = named.withColumn("parent", F.col("template")).withColumn("template", F.when(F.col("s").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "branch")))
+    named = now.join(k, ["template", "s"], "left").withColumn("template", F.concat_ws("/", "template", "branch"))  # a null branch adds nothing
     shares = named.where("s IS NOT NULL").groupBy("template").agg(smooth(F.first("share")).alias("own"))
-    named = named.join(shares, "template", "left").withColumn("share", F.when(F.col("s").isNull(), F.col("share")).otherwise(F.col("own")))
-    return named.drop("s", "branch", "parent", "own")
+    named = named.join(shares, "template", "left")
+    share = F.when(F.col("s").isNull(), F.col("share")).otherwise(F.col("own"))
+    return named.select("host", "shape", "n", "labelled", "bad", F.slice("rest", 2, 1_000_000).alias("rest"), "template", share.alias("share"))
