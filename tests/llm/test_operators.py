@@ -217,6 +217,26 @@ def test_near_duplicates_odd(spark):
     assert near_duplicates(H.empty_docs(spark)).count() == 0 and keep_representatives(H.empty_docs(spark)).count() == 0
 
 
+def test_near_duplicates_through_texts_without_id(spark):
+    """A and B are linked through a text without an id only; two texts without an id make a group of their own; one id has two texts."""
+    from tidemark.llm.neardup import keep_representatives, near_duplicates
+
+    w = [f"w{i}" for i in range(17)]
+    a, n, b = " ".join(w[:16]), " ".join(w[1:17]), " ".join([*w[2:17], "z0"])
+    sets = [H.shingles(t, 2) for t in (a, n, b)]
+    assert [100 * len(x & y) >= 80 * len(x | y) for x, y in ((sets[0], sets[1]), (sets[1], sets[2]), (sets[0], sets[2]))] == [True, True, False]
+    own = [" ".join(f"u{i}" for i in range(lo, lo + 30)) for lo in (0, 1)]
+    two = [H.passage(80, 30), H.passage(81, 30)]
+    for shift in (0, -5):
+        rows = [(1 + shift, a), (None, n), (3 + shift, b), (None, own[0]), (None, own[1]), (None, own[1]), (None, " "), (None, None), (9, two[0]), (9, two[1]), (8, two[1]), (10, two[0])]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        got = Counter((r.doc_id, r.component_id) for r in near_duplicates(df, n_words=2).collect())
+        assert got == Counter([(1 + shift, 1 + shift), (None, 1 + shift), (3 + shift, 1 + shift), *[(None, None)] * 5, (9, 8), (9, 8), (8, 8), (10, 8)])
+        kept = keep_representatives(df.withColumn("node", F.lit(0)), n_words=2).collect()
+        assert Counter(r.doc_id for r in kept) == Counter({1 + shift: 1, 8: 1, None: 3})
+        assert sum(r.text in own for r in kept) == 1
+
+
 def test_small_sets_always_share_a_run(spark):
     """Sets of 4 to 30 values at exactly the threshold are never missed."""
     from tidemark.llm.neardup import near_duplicates

@@ -27,8 +27,16 @@ def words_of(text: Column) -> Column:
     return F.array_remove(F.split(text, SPACE), "")
 
 
+def unused(name: str, columns: list[str]) -> str:
+    """A column name that none of `columns` has, in whatever case."""
+    taken = {c.lower() for c in columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir. Only where that is unset and the master is local (as in tests) is one made."""
+    """The folder in spark.checkpoint.dir, or the one set on the context. Only with both unset, in one local process, is one made."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
