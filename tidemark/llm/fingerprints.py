@@ -25,10 +25,12 @@ LOW32 = 0xFFFFFFFF
 
 
 def _ranges(docs: DataFrame, per: int) -> tuple[Column, int] | None:
-    """(range of the order key, number of ranges): 64 quantiles, each cut in even steps to about `per` documents."""
-    n, lo, hi, q = docs.agg(F.count(F.lit(1)), F.min("o"), F.max("o"), F.percentile_approx("o", [i / 64 for i in range(1, 64)], 1000)).first()
+    """(range of doc_id, number of ranges): one of nulls, then 64 quantiles, each cut in even steps to about `per` documents."""
+    n, lo, hi, q = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id"), F.percentile_approx("doc_id", [i / 64 for i in range(1, 64)], 1000)).first()
     if not n:
         return None
+    if lo is None:
+        return F.lit(0).cast("long"), 1
     edges = sorted({lo, *q}) + [hi + 1]
     steps = max(1, -(-n // (per * (len(edges) - 1))))
 
@@ -36,34 +38,39 @@ def _ranges(docs: DataFrame, per: int) -> tuple[Column, int] | None:
         if b - a == 1:
             return F.lit(a)
         m = (a + b) // 2
-        return F.when(F.col("o") < edges[m], find(a, m)).otherwise(find(m, b))
+        return F.when(F.col("doc_id") < F.lit(edges[m]), find(a, m)).otherwise(find(m, b))
 
     k = find(0, len(edges) - 1)
-    first, width = (F.element_at(F.array(*map(F.lit, v)), k + 1) for v in (edges[:-1], [y - x for x, y in zip(edges, edges[1:], strict=False)]))
-    step = F.least(F.floor((F.col("o") - first).cast("double") / width.cast("double") * steps), F.lit(steps - 1))
-    return (k * steps + step).cast("long"), (len(edges) - 1) * steps
+    # in double, as the span of all longs is no long
+    first, width = (F.element_at(F.array(*(F.lit(float(x)) for x in v)), k + 1) for v in (edges[:-1], [y - x for x, y in zip(edges, edges[1:], strict=False)]))
+    step = F.greatest(F.least(F.floor((F.col("doc_id").cast("double") - first) / width * steps), F.lit(steps - 1)), F.lit(0))
+    return F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(k * steps + step + 1).cast("long"), (len(edges) - 1) * steps + 1
 
 
-def _with_next(docs: DataFrame, null: int, per: int) -> DataFrame | None:
-    """(rng, rn, extra, o, text, next): extra marks the copies of documents of the following range; o is doc_id, `null` for a null."""
-    d = docs.select(F.coalesce("doc_id", F.lit(null)).alias("o"), "text")
-    found = _ranges(d, per)
+def _with_next(docs: DataFrame, per: int) -> DataFrame | None:
+    """(rng, rn, extra, doc_id, text, next): extra marks the copies of documents of the following range."""
+    found = _ranges(docs, per)
     if found is None:
         return None
-    d = d.withColumn("rng", found[0])
-    firsts = d.groupBy("rng").agg(F.min("o").alias("o"))  # one row for each range
+    d = docs.withColumn("rng", found[0])
+    firsts = d.groupBy("rng").agg(F.min("doc_id").alias("doc_id"))  # one row for each range
     last = firsts.agg(F.max("rng")).first()[0]
-    before = F.coalesce(F.lag("rng").over(Window.orderBy("rng")), F.lit(last))
-    firsts = firsts.select("o", before.alias("before"))
+    # within blocks of ranges, then across blocks, so that no task orders all of them
+    block = F.floor(F.col("rng") / 10_000)
+    inside = F.lag("rng").over(Window.partitionBy("blk").orderBy("rng"))
+    tops = firsts.groupBy(block.alias("blk")).agg(F.max("rng").alias("top"))
+    tops = tops.select(F.lead("blk").over(Window.orderBy("blk")).alias("blk"), "top")  # one row for each 10,000 ranges
+    firsts = firsts.withColumn("blk", block).withColumn("inside", inside).join(F.broadcast(tops), "blk", "left")
+    firsts = firsts.select(F.col("doc_id").alias("first_id"), F.coalesce("inside", "top", F.lit(last)).alias("before"))
     if found[1] <= 500_000:
         firsts = F.broadcast(firsts)
-    d = d.join(firsts, "o", "left")
+    d = d.join(firsts, F.col("doc_id").eqNullSafe(F.col("first_id")), "left").drop("first_id")
     here = F.struct(F.col("rng").alias("rng"), F.lit(False).alias("extra"))
     there = F.struct(F.col("before").alias("rng"), F.lit(True).alias("extra"))
     d = d.withColumn("at", F.explode(F.when(F.col("before").isNull(), F.array(here)).otherwise(F.array(here, there))))
-    d = d.select("at.rng", "at.extra", "o", "text").where("rng IS NOT NULL")  # as the join below infers for one side
-    w = Window.partitionBy("rng").orderBy("extra", "o", "text")
-    return d.select("rng", "extra", "o", "text", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next"))
+    d = d.select("at.rng", "at.extra", "doc_id", "text").where("rng IS NOT NULL")  # as the join below infers for one side
+    w = Window.partitionBy("rng").orderBy("extra", F.col("doc_id").asc_nulls_first(), "text")
+    return d.select("rng", "extra", "doc_id", "text", F.row_number().over(w).alias("rn"), F.lead("text").over(w).alias("next"))
 
 
 def _uniform(h: Column, part: int) -> Column:
@@ -79,20 +86,19 @@ def _sampled(c: Column, r: Column, ln_c: Column, b: Column, term: Column) -> Col
     return F.shiftleft(F.floor((ln_a + 64.0) * float(1 << 24)).cast("long"), 32) + pair
 
 
-def fingerprints(docs: DataFrame, samples: int = 32, per: int = 2000) -> DataFrame:
+def fingerprints(docs: DataFrame, samples: int = 32, per: int = 500) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs.
 
     The edited text has its last floor(n_chars / 4) characters replaced by the first as many (or all) of the next document.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
-    null = (docs.agg(F.min("doc_id")).first()[0] or 0) - 1
-    base = _with_next(docs, null, per)
+    base = _with_next(docs, per)
     if base is None:
         return docs.select("doc_id", F.lit(0).cast("long").alias("n_chars"), *(F.lit("").alias(c) for c in ("edited_sha256", "fingerprint", "edited_fingerprint")), F.lit(0.0).alias("near_edited"), F.lit(0.0).alias("near_next"))
     n = F.length("text")
     cut = F.floor(n / 4).cast("int")
     edited = F.concat(F.substring(F.col("text"), F.lit(1), n - cut), F.substring(F.coalesce("next", F.lit("")), F.lit(1), cut))
-    base = base.select("rng", "rn", "extra", "o", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
+    base = base.select("rng", "rn", "extra", "doc_id", "text", n.cast("long").alias("n_chars"), edited.alias("edited"))
 
     both = F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("t")), F.struct(F.lit(1).alias("v"), F.when(F.col("extra"), "").otherwise(F.col("edited")).alias("t")))
     terms = base.select("rng", "rn", F.explode(both).alias("x")).select("rng", "rn", "x.v", F.explode(words_of(F.col("x.t"))).alias("w"))
@@ -112,8 +118,8 @@ def fingerprints(docs: DataFrame, samples: int = 32, per: int = 2000) -> DataFra
     ids = lambda c: F.when(F.col(f"{c}0").isNotNull(), F.array(*(F.col(f"{c}{k}").bitwiseAND(F.lit(LOW32)) for k in range(samples))))
     kept = kept.select("rng", "rn", ids("p").alias("own"), ids("q").alias("changed"))
 
-    # the id is made from o at the very end: both branches then need the same columns, and one exchange of the texts serves them
-    info = base.select("rng", "rn", "extra", "o", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
+    # both branches need the same columns, so that one exchange of the texts serves them
+    info = base.select("rng", "rn", "extra", "doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"))
     out = info.join(kept, ["rng", "rn"], "left")
     out = out.withColumn("after", F.lead("own").over(Window.partitionBy("rng").orderBy("rn"))).where(~F.col("extra"))
 
@@ -122,5 +128,4 @@ def fingerprints(docs: DataFrame, samples: int = 32, per: int = 2000) -> DataFra
         return F.when(F.col(a).isNull() & F.col(b).isNull(), 1.0).when(F.col(a).isNull() | F.col(b).isNull(), 0.0).otherwise(same)
 
     text = lambda c: F.coalesce(F.array_join(F.transform(c, lambda x: F.lpad(F.lower(F.hex(x)), 8, "0")), ""), F.lit(""))
-    doc_id = F.when(F.col("o") != null, F.col("o")).alias("doc_id")
-    return out.select(doc_id, "n_chars", "edited_sha256", text("own").alias("fingerprint"), text("changed").alias("edited_fingerprint"), near("own", "changed").alias("near_edited"), near("own", "after").alias("near_next"))
+    return out.select("doc_id", "n_chars", "edited_sha256", text("own").alias("fingerprint"), text("changed").alias("edited_fingerprint"), near("own", "changed").alias("near_edited"), near("own", "after").alias("near_next"))

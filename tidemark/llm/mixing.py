@@ -134,7 +134,7 @@ def mixed(docs: DataFrame, block: int = 512, shard_slots: int = 4096, seed: int
     ids = values(spark, [(i, r["source"], r["s"], float(t)) for i, (r, t) in enumerate(zip(per, want, strict=True))], "sid INT, source STRING, source_size LONG, target DOUBLE")
     ids = ids.withColumnRenamed("source", "of_source")
     known = slim.join(F.broadcast(ids), slim["source"].eqNullSafe(ids["of_source"]))
-    placed = ranked(known, ["sid"], F.col("doc_id"), [F.col("doc_id").asc_nulls_first(), "size", "crc", "twin"], n_rows, weight=F.col("size"), out="at")
+    placed = ranked(known, ["sid"], F.struct(*KEY), [F.col("doc_id").asc_nulls_first(), "size", "crc", "twin"], n_rows, weight=F.col("size"), out="at")
     placed = staged(placed.select(*KEY, "source_size", "target", "sid", F.col("at").cast("long").alias("at")), "placed")
 
     b = F.lit(block)

@@ -1,7 +1,7 @@
 """K-d tree sharding: split at distributed weighted medians along the widest metadata dimension until leaves hold the target bytes.
 
 The law is `bytes`: the shards' sizes are near equal. Equal texts are one group and stay in one shard, unless a group is larger than a
-whole shard; such a group is dealt in pieces by a hash of the id. Groups of more than `big` of a shard (there are at most
+whole shard; the rows of such a group are dealt in pieces, in turn from a place that the id's hash gives. Groups of more than `big` of a shard (there are at most
 n_shards / big of them, so they may go to the driver) are placed first, largest on the emptiest shard; the tree then splits all other
 groups so that each leaf gets what its shard still lacks: a split point is the median weighted by bytes, moved where the two sides lack
 unequal amounts.
@@ -97,8 +97,10 @@ def kd_shards(docs: DataFrame, n_shards: int = 16, big: float = 0.05, bins_bits:
     share = total / n_shards
     heavy = {bytes(r["gid"]): r for r in groups.where(F.col("bytes") > F.lit(big * share)).select("gid", "bytes").collect()}  # fewer than n_shards / big
     split = values(spark, [(g, max(1, -(-r["bytes"] * 8 // int(share + 1)) if r["bytes"] > share else 1)) for g, r in heavy.items()], "gid BINARY, pieces INT")
-    part = F.pmod(F.xxhash64("doc_id"), F.col("pieces")).cast("int")
-    pieces = base.join(F.broadcast(split), "gid").groupBy("gid", part.alias("piece")).agg(F.sum("size").alias("b")).collect() if heavy else []
+    if heavy:
+        part = F.pmod(F.xxhash64("doc_id") + F.monotonically_increasing_id(), F.col("pieces")).cast("int")
+        dealt = staged(base.join(F.broadcast(split), "gid").withColumn("piece", part), "heavy")
+    pieces = dealt.groupBy("gid", "piece").agg(F.sum("size").alias("b")).collect() if heavy else []
     loads = [0.0] * n_shards
     where = _place(loads, [(r["b"], (bytes(r["gid"]), r["piece"])) for r in pieces])
     rest = total - sum(loads)
@@ -141,13 +143,16 @@ def kd_shards(docs: DataFrame, n_shards: int = 16, big: float = 0.05, bins_bits:
     for n in nodes:
         shard = F.when(F.col("node") == n["id"], F.lit(n["leaves"][0])).otherwise(shard)
     of_light = light.select("gid", shard.alias("shard"))
-    out = base.join(of_light, "gid", "left")
-    if heavy:
-        big_rows = values(spark, [(g, p, j) for (g, p), j in where.items()], "gid BINARY, piece INT, big_shard INT")
-        out = out.join(F.broadcast(split), "gid", "left").withColumn("piece", part)
-        out = out.join(F.broadcast(big_rows), ["gid", "piece"], "left").withColumn("shard", F.coalesce("big_shard", "shard"))
-    out = out.select("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"))
-    out = ranked(out, ["shard"], F.col("doc_id"), [F.col("doc_id").asc_nulls_first(), "size", "text_crc32"], rows)
+    columns = ("doc_id", "size", "text_crc32", F.col("shard").cast("int").alias("shard"))
+    if heavy:  # few groups, whose rows need no join by group
+        big_rows = values(spark, [(g, p, j) for (g, p), j in where.items()], "gid BINARY, piece INT, shard INT")
+        out = base.join(F.broadcast(split), "gid", "left_anti").join(of_light, "gid").select(*columns)
+        out = out.union(dealt.join(F.broadcast(big_rows), ["gid", "piece"]).select(*columns))
+    else:
+        out = base.join(of_light, "gid").select(*columns)
+    # the tie tells repeated rows apart, so that a hot id is no hot bucket
+    out = staged(out.withColumn("tie", F.monotonically_increasing_id()), "shards")
+    out = ranked(out, ["shard"], F.struct("doc_id", "tie"), [F.col("doc_id").asc_nulls_first(), "size", "text_crc32", "tie"], rows)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", F.col("slot").cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
 
 
