@@ -4,14 +4,16 @@ Words `[^\x20\x09-\x0D]+` are lower-cased (A-Z) and lose the ASCII punctuation a
 substitution there does not spoil the hit. Any stretch of at least eight equal words with at least 80 of 100 words equal holds one of the
 masks, and so does an item of six to nine words with one substitution; items of five words have masks of four positions. Hashes of all
 masked windows of the benchmark items are joined with those of all documents: the
-items' hashes, of at most `slice_words` words at a time, go to all tasks, where a bitmap and a sorted search find the hits; a larger
-benchmark is joined in as many slices as it needs, which partition the items. A hit fixes the diagonal (word i of the item is word i + d of
+items' hashes, of at most `slice_words` words at a time, are broadcast to all tasks, where a bitmap and a sorted search find the hits: a hash
+join whose small side is the benchmark, in which a frequent hash is no hot key. A larger benchmark is joined in as many slices as it needs,
+which partition the items, one run after the other; each writes what it found, so that no task or driver holds more than one slice. A hit fixes the diagonal (word i of the item is word i + d of
 the document). Along it the stretch with the most equal words is found, of those with at least `percent` of 100 words equal; the document is
 contaminated where it has `least_words` equal words, or four fifths of an item that is shorter. With a `percent` or `least_words` below
 80 and 8 a stretch may hold no mask.
 
 Defined results: null and empty texts are clean; items of one to four words are compared by all their words; an empty benchmark leaves all
-clean; of equal overlaps the smallest item_id is reported; repeated rows have equal results; other columns are kept by `with_leaks`.
+clean; items with a null or repeated item_id count like any other, and of equal overlaps the smallest item_id is reported, a null one last;
+repeated rows have equal results; other columns are kept by `with_leaks` and `without_leaks`, whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches
+from tidemark.llm.common import bounded_batches, staged, unused
 from tidemark.llm.wordhash import P, WordHashes, mix, tidy
 
 #: Every 0-1 string with eight ones at least, and four fifths ones, holds one of these: of 20 or more signs one half is such a string again,
@@ -130,10 +132,11 @@ def find_leaks(docs: list[np.ndarray], index: dict, percent: int, least_words: i
         lo, hi = max(0, -d), min(len(w), len(own) - d)
         equal, a, b = best_stretch(w[lo:hi] == own[lo + d : hi + d], percent)
         if equal >= min(least_words, -(-len(w) * percent // 100)):
-            one = (-equal, index["ids"][item], b - a, a + lo + d)
+            name = index["ids"][item]
+            one = (-equal, name is None, name or 0, b - a, a + lo + d)
             best[doc] = min(best.get(doc, one), one)
-    for doc, one in best.items():
-        out[doc] = (one[1], -one[0], one[2], one[3], hits[doc])
+    for doc, (equal, none, name, n, first) in best.items():
+        out[doc] = (None if none else name, -equal, n, first, hits[doc])
     return out
 
 
@@ -155,29 +158,47 @@ def _scan(shared, percent: int, least_words: int):
     return F.pandas_udf(run, "item_id long, n_equal long, n_overlap long, first_word long, hits long")
 
 
-def with_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, least_words: int = 8, slice_words: int = 2_000_000) -> DataFrame:
-    """docs with leak: a struct of item_id, n_equal, n_overlap, first_word, hits; item_id is null for clean documents."""
+def _slices(benchmark: DataFrame, slice_words: int) -> Iterator[list[tuple]]:
+    """The items in lists of at most `slice_words` words (or a single item), one list at a time on the driver."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), "text")
+    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n = max(1, -(-size // (2 * slice_words)))  # a word and its blank take two bytes at least
+    if n > 1:
+        items = staged(items.withColumn("slice", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), "items")
+    for i in range(n):
+        part = items.where(F.col("slice") == i) if n > 1 else items
+        yield [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").select("item_id", "text").collect()]
+
+
+def with_leaks(docs: DataFrame, benchmark: DataFrame, percent: int = 80, least_words: int = 8, slice_words: int = 2_000_000, name: str = "leak") -> DataFrame:
+    """docs with a struct of item_id, n_equal, n_overlap, first_word, hits, in place of a column called `name`; n_equal is 0 for clean documents."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    items = benchmark.where("item_id IS NOT NULL").select("item_id", "text")
-    size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    slices = max(1, -(-size // (2 * slice_words)))  # a word and its blank take two bytes at least
-    leaks = []
-    for i in range(slices):
-        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(slices)) == i).orderBy("item_id", "text").collect()
-        index = spark.sparkContext.broadcast(build_index([(r["item_id"], r["text"]) for r in part]))
-        leaks.append(f"_leak{i}")
-        docs = docs.withColumn(leaks[-1], _scan(index, percent, least_words)("text"))
-    best = F.array_max(F.array(*(F.struct(F.col(f"{x}.n_equal").alias("n"), (-F.col(f"{x}.item_id")).alias("order"), F.col(x).alias("leak")) for x in leaks)))
-    return docs.withColumn("leak", best["leak"]).drop(*leaks)
+    best, now = unused("_best", docs.columns), unused("_now", docs.columns)
+    out, shared = docs, None
+    for items in _slices(benchmark, slice_words):
+        if shared is not None:  # one slice in a plan
+            out = staged(out, "leaks")
+            shared.unpersist()
+        first, shared = shared is None, spark.sparkContext.broadcast(build_index(items))
+        found = _scan(shared, percent, least_words)("text")
+        if first:
+            out = out.withColumn(best, found)
+            continue
+        same = (F.col(f"{now}.n_equal") > 0) & (F.col(f"{now}.n_equal") == F.col(f"{best}.n_equal"))
+        lower = F.coalesce(F.col(f"{now}.item_id") < F.col(f"{best}.item_id"), F.col(f"{now}.item_id").isNotNull())
+        better = (F.col(f"{now}.n_equal") > F.col(f"{best}.n_equal")) | (same & lower)
+        out = out.withColumn(now, found).withColumn(best, F.when(better, F.col(now)).otherwise(F.col(best))).drop(now)
+    return out.select(*(F.col(f"`{c}`") for c in docs.columns if c.lower() != name.lower()), F.col(best).alias(name))
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """doc_id, contaminated, item_id, n_equal, n_overlap, first_word, hits for every row of docs."""
     out = with_leaks(docs.select("doc_id", "text"), benchmark, **options)
-    return out.select("doc_id", F.col("leak.item_id").isNotNull().alias("contaminated"), "leak.*")
+    return out.select("doc_id", (F.col("leak.n_equal") > 0).alias("contaminated"), "leak.*")
 
 
 def without_leaks(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
-    """The rows of docs that are not contaminated, with their columns."""
-    return with_leaks(docs, benchmark, **options).where("leak.item_id IS NULL").drop("leak")
+    """The rows of docs that are not contaminated, with all their columns."""
+    name = unused("leak", docs.columns)
+    return with_leaks(docs, benchmark, name=name, **options).where(F.col(f"{name}.n_equal") == 0).drop(name)

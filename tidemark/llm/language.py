@@ -6,15 +6,16 @@ languages. Training cuts the sampled texts into pieces of 8 to 400 bytes, so tha
 multiplied with the softmax weights once: a text's logits are then the mean of a few numbers per subword, and prediction has no
 matrix product.
 
-The sample: of the labelled rows allowed for training, about `rows_per_lang` of each language (chosen by a hash of the id) with at most
-`max_bytes` bytes. A tenth of them is kept out of training; its pieces fit the temperature and the least score.
+The sample: of the labelled rows allowed for training, about `rows_per_lang` of each language, chosen by a hash of the id; of a text with more
+than `max_chars` characters a stretch of as many, which begins where the hash says. The `max_langs` languages with the most rows are learned.
+A tenth of the sample is kept out of training; its pieces fit the temperature and the least score.
 
 A softmax is sure of texts in no learned language too, so rejection also goes by the share of a text's subwords that the sample has. What
 share is usual is learned from pieces of all sampled texts: the share of a piece's subwords that some other sampled text
 has. A text is rejected where its share is below the `reject` quantile of the pieces, or its score below that of right answers.
 
 Defined results: null text, and text without a letter, is `und` with score 0 and rejected; if nothing was learned everything is; null
-doc_id counts as crc32 remainder 0; repeated rows have equal results; an empty table gives no rows; other columns are ignored.
+doc_id counts as crc32 remainder 0; of labels with equally many rows the first by code point are learned; repeated rows have equal results; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import bounded_batches
+from tidemark.llm.common import bounded_batches, unused, values
 from tidemark.llm.wordhash import tidy, trim
 
 GRAMS = (2, 3, 4)
@@ -216,18 +217,20 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(0)) % 3 == 1
 
 
-def fit(docs: DataFrame, rows_per_lang: int = 250, max_bytes: int = 20_000, max_langs: int = 1000, **options) -> dict | None:
+def fit(docs: DataFrame, rows_per_lang: int = 250, max_chars: int = 20_000, max_langs: int = 1000, **options) -> dict | None:
     """Trains on a bounded sample of the labelled rows that are not held out."""
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out() & (F.octet_length("text") <= max_bytes))
-    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).limit(max_langs + 1).collect()}
-    if len(n) > max_langs:
-        raise ValueError(f"more than {max_langs} values of lang")
+    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out())
+    n = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_langs).collect()}
     if not n:
         return None
-    place = F.pmod(F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.lit(3)), F.lit(1_000_000_007))
-    bound = F.create_map(*(F.lit(x) for lang, k in sorted(n.items()) for x in (lang, int(1_000_000_007 * min(1.0, rows_per_lang / k)))))
-    wanted = place < F.element_at(bound, F.col("lang"))
-    sample = sorted((r["doc_id"] or 0, r["lang"], r["text"]) for r in rows.where(wanted).select("doc_id", "lang", "text").collect())
+    # rows with one id, or none, are told apart by their texts
+    h = F.xxhash64(F.coalesce("doc_id", F.lit(0)), F.crc32(F.col("text").cast("binary")))
+    place = F.pmod(h, F.lit(1_000_000_007))
+    bound = values(docs.sparkSession, [(lang, int(1_000_000_007 * min(1.0, rows_per_lang / k))) for lang, k in sorted(n.items())], "lang STRING, bound LONG")
+    spare = F.greatest(F.length("text") - max_chars, F.lit(0))
+    part = F.substring(F.col("text"), F.pmod(F.xxhash64(h, F.lit(1)), spare + 1).cast("int") + 1, F.lit(max_chars))
+    chosen = rows.join(F.broadcast(bound), "lang").where(place < F.col("bound")).select("doc_id", "lang", part.alias("text")).distinct()
+    sample = sorted((r["doc_id"] or 0, r["lang"], r["text"]) for r in chosen.collect())
     sample = [(lang, t) for _, lang, t in sample if any(map(str.isalpha, t))]
     model = train([t for _, t in sample], [lang for lang, _ in sample], **options)
     del sample
@@ -236,12 +239,20 @@ def fit(docs: DataFrame, rows_per_lang: int = 250, max_bytes: int = 20_000, max_
 
 
 def with_language(docs: DataFrame, **options) -> DataFrame:
-    """docs with lang_id: a struct of lang_pred, score and rejected."""
+    """docs with lang_id: a struct of lang_pred, score and rejected, in place of a column of that name."""
     bounded_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(fit(docs, **options))  # buckets x languages numbers at most
     return docs.withColumn("lang_id", _predict(model)("text"))
 
 
+def without_rejected(docs: DataFrame, **options) -> DataFrame:
+    """The rows of docs that the model does not reject, with all their columns."""
+    bounded_batches(docs.sparkSession)
+    model = docs.sparkSession.sparkContext.broadcast(fit(docs, **options))
+    name = unused("lang_id", docs.columns)
+    return docs.withColumn(name, _predict(model)("text")).where(~F.col(f"{name}.rejected")).drop(name)
+
+
 def predict_language(docs: DataFrame, **options) -> DataFrame:
     """doc_id, held_out, lang_pred, score, rejected for every row of docs."""
     out = with_language(docs.select("doc_id", "text", "lang"), **options)
