@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm.common import keep_until_exit, read, shared_dir
 from tidemark.llm.decontaminate import without_leaks
-from tidemark.llm.language import with_language
+from tidemark.llm.language import without_rejected
 from tidemark.llm.mixing import mix_documents
 from tidemark.llm.neardup import keep_representatives
 from tidemark.llm.sharding import kd_shards
@@ -20,7 +20,7 @@ from tidemark.llm.sharding import kd_shards
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the language model rejects go."""
-    return with_language(docs).where("NOT lang_id.rejected").drop("lang_id")
+    return without_rejected(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
