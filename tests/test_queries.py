@@ -4,12 +4,13 @@ import math
 
 import pytest
 
-from tidemark.plans import keyed_queries, relational
+from tidemark.plans import command_queries, keyed_queries, relational
 from tidemark.sources.tables import TABLES
 
 duckdb = pytest.importorskip("duckdb")
-QUERIES = relational.queries() | keyed_queries.queries()
-ORACLES = relational.oracle_sql() | keyed_queries.oracle_sql()
+MODULES = (relational, keyed_queries, command_queries)
+QUERIES = {k: v for m in MODULES for k, v in m.queries().items()}
+ORACLES = {k: v for m in MODULES for k, v in m.oracle_sql().items()}
 
 
 @pytest.fixture(scope="module")

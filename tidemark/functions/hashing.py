@@ -20,26 +20,33 @@ def _dec(n: int) -> Column:
     return F.lit(str(n)).cast("decimal(38,0)")
 
 
-def fnv1a_col(text: Column) -> Column:
-    """Unsigned 64-bit FNV-1a of the UTF-8 bytes as decimal(38,0), in the JVM: a fold over the bytes in exact decimals.
+def _limbs(text: Column) -> Column:
+    """FNV-1a of the UTF-8 bytes as a struct of two 32-bit limbs (hi, lo), in the JVM.
 
-    Only the low byte is xored, so the rest is kept by a remainder; the product is below 2 ** 104 and exact.
+    The prime is 2 ** 40 + 435, so that a product is a shift and a small product, and all of it stays in 63 bits.
     """
     raw = F.hex(F.encode(text, "UTF-8"))
     at = F.sequence(F.lit(1), F.greatest(F.length(raw), F.lit(1)), F.lit(2))
-    bytes_ = F.when(F.length(raw) > 0, F.transform(at, lambda i: F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("int"))).otherwise(F.array().cast("array<int>"))
+    bytes_ = F.when(F.length(raw) > 0, F.transform(at, lambda i: F.conv(F.substring(raw, i, F.lit(2)), 16, 10).cast("bigint"))).otherwise(F.array().cast("array<bigint>"))
+    low32 = F.lit(0xFFFFFFFF).cast("bigint")
+    limbs = lambda hi, lo: F.struct(hi.cast("bigint").alias("hi"), lo.cast("bigint").alias("lo"))
 
     def step(h: Column, b: Column) -> Column:
-        low = (h % _dec(256)).cast("int")
-        mixed = (h - (h % _dec(256)) + low.bitwiseXOR(b).cast("decimal(38,0)")).cast("decimal(20,0)")
-        return ((mixed * F.lit(str(FNV_PRIME)).cast("decimal(13,0)")) % _dec(WRAP)).cast("decimal(38,0)")
+        lo = h["lo"].bitwiseXOR(b)
+        small = F.lit(FNV_PRIME - (1 << 40)).cast("bigint")
+        return limbs((h["hi"] * small + F.shiftright(lo * small, 32) + F.shiftleft(lo, 8)).bitwiseAND(low32), (lo * small).bitwiseAND(low32))
+
+    return F.aggregate(bytes_, limbs(F.lit(FNV_OFFSET >> 32), F.lit(FNV_OFFSET & 0xFFFFFFFF)), step)
 
-    return F.aggregate(bytes_, _dec(FNV_OFFSET), step)
+
+def fnv1a_col(text: Column) -> Column:
+    """Unsigned 64-bit FNV-1a of the UTF-8 bytes as decimal(38,0)."""
+    return F.aggregate(F.array(_limbs(text)), _dec(0), lambda _, h: (h["hi"].cast("decimal(20,0)") * F.lit(str(1 << 32)).cast("decimal(11,0)") + h["lo"].cast("decimal(20,0)")).cast("decimal(38,0)"))
 
 
 def shard_of(text: Column, shards: int) -> Column:
-    """FNV-1a modulo the number of shards."""
-    return (fnv1a_col(text) % _dec(shards)).cast("int")
+    """FNV-1a modulo the number of shards (below 2 ** 31)."""
+    return F.aggregate(F.array(_limbs(text)), F.lit(0).cast("bigint"), lambda _, h: (h["hi"] % shards * ((1 << 32) % shards) + h["lo"] % shards) % shards).cast("int")
 
 
 def ring(members: list[str], vnodes: int = 160) -> list[tuple[int, str]]:

@@ -41,8 +41,8 @@ def move(df: DataFrame, src, dst, member) -> DataFrame:
 
 
 def pick(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
-    """n pseudorandom members, the same in every run: the smallest seeded hashes."""
-    return df.orderBy(F.xxhash64("member", F.lit(seed)), "member").limit(n)
+    """n pseudorandom members, the same in every run: the smallest seeded digests."""
+    return df.orderBy(F.md5(F.concat(F.lit(f"{seed}:"), F.col("member").cast("string")).cast("binary")), "member").limit(n)
 
 
 # sorted sets: (member, score), ordered by score, then member

@@ -301,7 +301,7 @@ def coll_cardinality(spark, d):
     return load(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("key")).agg(F.count_distinct("l_partkey").alias("n"))
 
 
-@query("coll_random_members")
+@query("coll_random_members", "SELECT member FROM (SELECT DISTINCT l_partkey AS member FROM lineitem WHERE l_returnflag = 'A') ORDER BY md5('3:' || member), member LIMIT 10")
 def coll_random_members(spark, d):
     return C.pick(members(spark, d, "A").distinct(), 10, seed=3)
 
@@ -358,9 +358,9 @@ def coll_zset_inter(spark, d):
     return C.zinter([zset(spark, d, "A"), zset(spark, d, "R")])
 
 
-@query("coll_zset_diff", f"WITH {ZSETS} SELECT member, score FROM z WHERE key = 'N' AND member NOT IN (SELECT member FROM z WHERE key = 'A')")
+@query("coll_zset_diff", f"WITH {ZSETS} SELECT member, score FROM z WHERE key = 'N' AND member NOT IN (SELECT member FROM z WHERE key = 'A' AND score > 250)")
 def coll_zset_diff(spark, d):
-    return C.zdiff([zset(spark, d, "N"), zset(spark, d, "A")])
+    return C.zdiff([zset(spark, d, "N"), zset(spark, d, "A").where("score > 250")])
 
 
 @query("coll_hash_set", "SELECT user_id AS key, event_type AS field, arg_max(value, event_id) AS value FROM events GROUP BY 1, 2")
@@ -373,9 +373,10 @@ def coll_hash_incr(spark, d):
     return C.hincr(load(spark, d, "events").select(F.col("user_id").alias("key"), F.col("event_type").alias("field"), F.lit(1).alias("amount")))
 
 
-@query("coll_hash_getall")
+@query("coll_hash_getall", "SELECT key, string_agg(field || '=' || n, ',' ORDER BY field) AS fields FROM (SELECT user_id AS key, event_type AS field, count(*) AS n FROM events GROUP BY 1, 2) GROUP BY key")
 def coll_hash_getall(spark, d):
-    return C.hash_maps(coll_hash_incr(spark, d))
+    maps = C.hash_maps(coll_hash_incr(spark, d))
+    return maps.select("key", F.array_join(F.transform(F.map_entries("fields"), lambda e: F.concat(e["key"], F.lit("="), e["value"])), ",").alias("fields"))
 
 
 LISTS = "l AS (SELECT conv_id, list(role ORDER BY turn) AS a FROM conversations GROUP BY conv_id)"
@@ -547,17 +548,31 @@ def geo_hash_text(spark, d):
     return places(spark, d).select("member", G.geohash(F.col("lon"), F.col("lat")).alias("geohash"))
 
 
-@query("shard_fnv")
+#: FNV-1a of ASCII text in SQL, and the owners of customers on rings of some members.
+FNV = "list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(string_split({}, ''), lambda c: ascii(c)::UHUGEINT)), lambda h, b: (xor(h, b) * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT)"
+
+
+def _owners_sql(name: str, members: str) -> str:
+    v = FNV.format("m || '#vnode' || i")
+    return f"""r_{name} AS (SELECT {v} AS place, m FROM (SELECT unnest({members}) AS m), (SELECT unnest(range(160)) AS i)),
+    o_{name} AS (SELECT c_custkey, coalesce(r.m, (SELECT arg_min(m, place) FROM r_{name})) AS owner FROM c ASOF LEFT JOIN r_{name} r ON c.h <= r.place)"""
+
+
+HASHED = f"c AS (SELECT c_custkey, {FNV.format('c_name')} AS h FROM customer)"
+
+
+@query("shard_fnv", f"WITH {HASHED} SELECT c_custkey, (h % 16::UHUGEINT)::INT AS shard FROM c")
 def shard_fnv(spark, d):
     return load(spark, d, "customer").select("c_custkey", H.shard_of(F.col("c_name"), 16).alias("shard"))
 
 
-@query("shard_ring_owner")
+@query("shard_ring_owner", f"""WITH {HASHED}, {_owners_sql("a", "['east', 'west', 'north']")} SELECT c_custkey, owner FROM o_a""")
 def shard_ring_owner(spark, d):
     return H.owners(load(spark, d, "customer").select("c_custkey", "c_name"), "c_name", ["east", "west", "north"]).select("c_custkey", "owner")
 
 
-@query("shard_ring_moves")
+@query("shard_ring_moves", f"""WITH {HASHED}, {_owners_sql("a", "['east', 'west', 'north']")}, {_owners_sql("b", "['east', 'west', 'north', 'south']")}
+    SELECT c_custkey, o_a.owner AS before, o_b.owner AS owner FROM o_a JOIN o_b USING (c_custkey) WHERE o_a.owner <> o_b.owner""")
 def shard_ring_moves(spark, d):
     c = load(spark, d, "customer").select("c_custkey", "c_name")
     a = H.owners(c, "c_name", ["east", "west", "north"]).withColumnRenamed("owner", "before")

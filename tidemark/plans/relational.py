@@ -29,7 +29,7 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
         WHERE c_mktsegment IN ('BUILDING', 'MACHINERY') AND c_acctbal BETWEEN 0 AND 5000 AND c_name LIKE '%1%' AND NOT (c_nationkey = 3) AND c_name IS NOT NULL""", None),
     "rel_not_predicates": ("SELECT c_custkey FROM customer WHERE c_mktsegment NOT IN ('BUILDING') AND c_acctbal NOT BETWEEN 0 AND 5000 AND c_name NOT LIKE '%9'", None),
     "rel_is_true_false": ("SELECT c_custkey, (c_acctbal > 0) IS TRUE AS positive, (nullif(c_nationkey, 3) > 10) IS NOT FALSE AS not_low FROM customer", None),
-    "rel_ilike": ("SELECT p_partkey, p_name FROM part WHERE p_type ILIKE '%BRASS%' OR p_name ILIKE '%a_b%'", None),
+    "rel_ilike": ("SELECT p_partkey, p_name FROM part WHERE p_type ILIKE '%conom%' OR p_name ILIKE '%RED_w%'", None),
     "rel_bitwise": (
         "SELECT p_partkey, p_size & 6 AS b_and, p_size | 8 AS b_or, p_size ^ 5 AS b_xor, shiftleft(p_size, 2) AS b_left, shiftright(p_size, 1) AS b_right FROM part",
         "SELECT p_partkey, p_size & 6 AS b_and, p_size | 8 AS b_or, xor(p_size, 5) AS b_xor, CAST(p_size << 2 AS INT) AS b_left, CAST(p_size >> 1 AS INT) AS b_right FROM part"),
@@ -42,17 +42,26 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "rel_join_left": ("SELECT c_custkey, o_orderkey FROM customer LEFT JOIN orders ON c_custkey = o_custkey AND o_totalprice > 250000", None),
     "rel_join_right": ("SELECT c_custkey, o_orderkey FROM orders RIGHT JOIN customer ON c_custkey = o_custkey AND o_orderstatus = 'P'", None),
     "rel_join_full": ("""
-        SELECT s_suppkey, c_custkey FROM (SELECT * FROM supplier WHERE s_suppkey <= 60) s
-        FULL OUTER JOIN (SELECT * FROM customer WHERE c_custkey BETWEEN 40 AND 120) c ON s_suppkey = c_custkey""", None),
+        SELECT s_suppkey, c_custkey FROM supplier FULL OUTER JOIN customer ON s_suppkey * 3 = c_custkey * 2""", None),
     "rel_join_cross": ("SELECT r_name, n_name FROM region CROSS JOIN nation", None),
     "rel_join_comma": ("SELECT r_name, n_name FROM region, nation WHERE r_regionkey = n_regionkey", None),
     "rel_join_theta": ("""
         SELECT a.n_nationkey AS a, b.n_nationkey AS b FROM nation a JOIN nation b ON a.n_regionkey = b.n_regionkey AND a.n_nationkey < b.n_nationkey""", None),
     "rel_join_null_keys": (
-        "SELECT a.c_custkey AS a, b.s_suppkey AS b FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer WHERE c_custkey < 300) a JOIN (SELECT s_suppkey, nullif(s_nationkey, 3) AS k FROM supplier) b ON a.k <=> b.k",
-        "SELECT a.c_custkey AS a, b.s_suppkey AS b FROM (SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer WHERE c_custkey < 300) a JOIN (SELECT s_suppkey, nullif(s_nationkey, 3) AS k FROM supplier) b ON a.k IS NOT DISTINCT FROM b.k"),
+        "SELECT a.k, sum(n) AS customers, count(*) AS suppliers FROM (SELECT nullif(c_nationkey, 3) AS k, count(*) AS n FROM customer GROUP BY 1) a JOIN (SELECT s_suppkey, nullif(s_nationkey, 3) AS k FROM supplier) b ON a.k <=> b.k GROUP BY a.k",
+        "SELECT a.k, sum(n)::BIGINT AS customers, count(*) AS suppliers FROM (SELECT nullif(c_nationkey, 3) AS k, count(*) AS n FROM customer GROUP BY 1) a JOIN (SELECT s_suppkey, nullif(s_nationkey, 3) AS k FROM supplier) b ON a.k IS NOT DISTINCT FROM b.k GROUP BY a.k"),
     "rel_semi_exists": ("SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_totalprice > 200000)", None),
-    "rel_anti_not_exists": ("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey)", None),
+    "rel_anti_not_exists": ("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_totalprice > 300000)", None),
+    "rel_not_in_nulls": ("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM (SELECT nullif(s_nationkey, 3) AS k FROM supplier WHERE s_suppkey % 4 = 0) s WHERE s.k = c.c_nationkey)",
+        "SELECT c_custkey FROM customer WHERE NOT coalesce(c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 4 = 0 AND s_nationkey <> 3), false)"),
+    "rel_qualified_star": ("SELECT n.*, r_name FROM nation n JOIN region r ON n_regionkey = r_regionkey", None),
+    "rel_distinct_order": ("SELECT DISTINCT c_mktsegment, c_nationkey FROM customer ORDER BY c_nationkey DESC, c_mktsegment", None),
+    "rel_first_of_group": ("SELECT c_nationkey, min_by(c_name, c_custkey) AS first_name, count(*) AS n FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, arg_min(c_name, c_custkey) AS first_name, count(*) AS n FROM customer GROUP BY c_nationkey"),
+    "rel_join_range": ("""
+        WITH bands AS (SELECT n_nationkey AS band, n_nationkey * 15000D AS lo, n_nationkey * 15000D + 40000 AS hi FROM nation),
+        cells AS (SELECT *, explode(sequence(floor(lo / 10000), floor(hi / 10000))) AS cell FROM bands)
+        SELECT o_orderkey, band FROM orders JOIN cells ON floor(o_totalprice / 10000) = cell AND o_totalprice >= lo AND o_totalprice < hi""",
+        "SELECT o_orderkey, n_nationkey AS band FROM orders JOIN nation ON o_totalprice >= n_nationkey * 15000.0::DOUBLE AND o_totalprice < n_nationkey * 15000.0::DOUBLE + 40000"),
     "rel_in_subquery": ("SELECT s_suppkey, s_name FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)", None),
     "rel_scalar_subquery": ("SELECT o_orderkey, o_totalprice FROM orders WHERE o_totalprice > (SELECT avg(o_totalprice) * 1.5 FROM orders)", None),
     "rel_correlated_subquery": ("SELECT p_partkey, (SELECT count(*) FROM lineitem WHERE l_partkey = p_partkey AND l_quantity > 40) AS n FROM part", None),
@@ -67,9 +76,9 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
     "rel_null_group": ("SELECT nullif(o_orderstatus, 'F') AS status, count(*) AS n FROM orders GROUP BY nullif(o_orderstatus, 'F')", None),
     "rel_distinct": ("SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem", None),
     "rel_order_limit_offset": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 10", None),
-    "rel_order_ordinal": ("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 3", None),
-    "rel_nulls_first": ("SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer ORDER BY k ASC NULLS FIRST, c_custkey LIMIT 15", None),
-    "rel_nulls_last": ("SELECT c_custkey, nullif(c_nationkey, 24) AS k FROM customer ORDER BY k DESC NULLS LAST, c_custkey LIMIT 15", None),
+    "rel_order_ordinal": ("SELECT c_mktsegment, count(*) AS n FROM customer GROUP BY 1 ORDER BY 2 DESC, 1", None),
+    "rel_nulls_first": ("SELECT c_custkey, nullif(c_nationkey, 3) AS k FROM customer ORDER BY k ASC NULLS FIRST, c_custkey", None),
+    "rel_nulls_last": ("SELECT c_custkey, nullif(c_nationkey, 24) AS k FROM customer ORDER BY k DESC NULLS LAST, c_custkey", None),
     "rel_union_all": ("SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier", None),
     "rel_union": ("SELECT c_nationkey AS k FROM customer UNION SELECT s_nationkey FROM supplier", None),
     "rel_intersect_except": ("(SELECT c_nationkey AS k FROM customer INTERSECT SELECT s_nationkey FROM supplier) EXCEPT SELECT n_nationkey FROM nation WHERE n_regionkey = 2", None),

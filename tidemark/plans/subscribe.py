@@ -11,6 +11,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -204,15 +205,24 @@ def frames(diffs: DataFrame, client: str, tick: str, seq: str, columns: list[str
 
 
 def deliveries(messages: DataFrame, patterns: DataFrame) -> DataFrame:
-    """Pub/sub: how many subscriptions each message reaches. patterns(pattern): few, with exact names or globs.
+    """Pub/sub: how many subscriptions each message reaches, an exact name or a glob of patterns(pattern) each.
 
-    Exact names are an equi-join; globs are tested once per distinct channel.
+    Exact names are an equi-join on the channel. Globs, as many as there are, are tested once for each distinct channel: a glob that begins
+    with plain text is joined on its first character, the others (which begin with a wildcard) meet all channels.
     """
     from tidemark.sources.tables import glob_regex
 
-    globs = [r["pattern"] for r in patterns.select("pattern").collect()]
-    hit = F.lit(0)
-    for g in globs:
-        hit = hit + F.col("channel").rlike(glob_regex(g)).cast("int")
-    channels = messages.select("channel").distinct().withColumn("n", hit)
-    return messages.join(channels, "channel")
+    @F.pandas_udf("string")
+    def regex(s: pd.Series) -> pd.Series:
+        return s.map(glob_regex)
+
+    special = F.col("pattern").rlike(r"[*?\[\\]")
+    many = patterns.groupBy("pattern").agg(F.count(F.lit(1)).alias("k"))
+    exact = many.where(~special).select(F.col("pattern").alias("channel"), "k")
+    globs = many.where(special).select("k", regex("pattern").alias("regex"), F.when(~F.col("pattern").rlike(r"^[*?\[\\]"), F.substring("pattern", 1, 1)).otherwise("").alias("start"))
+    channels = messages.select("channel").distinct()
+    starts = channels.withColumn("start", F.explode(F.array(F.lit(""), F.substring("channel", 1, 1))))
+    by_glob = starts.join(globs, "start").where(F.rlike("channel", F.col("regex"))).select("channel", "k")
+    hits = by_glob.union(exact).groupBy("channel").agg(F.sum("k").cast("int").alias("n"))
+    reach = channels.join(hits, "channel", "left").select("channel", F.coalesce("n", F.lit(0)).alias("n"))
+    return messages.join(reach, "channel")
