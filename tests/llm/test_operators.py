@@ -84,36 +84,89 @@ def test_license_scan_finds_lines_and_inherits(spark):
     assert scan(spark.createDataFrame([], "id string, path string, text string")).count() == 0
 
 
-def test_license_cosines(spark):
-    """The score of each line with a core token, by hand."""
+def best_licenses(texts, least=0.6):
+    """{id: (license, score) or None}: every line, paragraph and whole text against every template."""
     import math
     import re
 
-    from tidemark.llm.licenses import TEMPLATES, scan
+    from tidemark.llm.licenses import TEMPLATES
 
-    texts = {1: "Released under the MIT License.\nplain words here", 2: "we work under the mit license of old", 3: "GNU General Public License version 3 or any later one", 4: "nothing at all"}
-    got = {r.id: (r.own_license, r.own_score) for r in scan(spark.createDataFrame([(k, f"d/{k}", v) for k, v in texts.items()], "id int, path string, text string")).collect()}
     tok = lambda s: Counter(re.findall("[a-z0-9]+", s.lower()))
-    lines = [tok(x) for t in texts.values() for x in t.split("\n")]
+    lines = [set(tok(x)) for t in texts.values() for x in re.split("\r\n|\r|\n", t)]
+    count = Counter(t for x in lines for t in x)
     vocab = {t for _, text in TEMPLATES for t in tok(text)}
-    idf = lambda t: math.log((1 + len(lines)) / (1 + sum(t in x for x in lines) * (t in vocab))) + 1e-9
-    for k, text in texts.items():
-        best = (0.6, None)
-        for name, template in TEMPLATES:
-            b = {t: n * idf(t) for t, n in tok(template).items()}
-            for x in text.split("\n"):
-                a = {t: n * idf(t) for t, n in tok(x).items()}
-                cos = sum(a[t] * b.get(t, 0) for t in a) / math.sqrt(sum(v * v for v in a.values()) * sum(v * v for v in b.values()))
-                if round(cos, 9) > best[0]:
-                    best = (round(cos, 9), name)
-        assert got[k][0] == best[1]
-        assert got[k][1] is None or abs(got[k][1] - best[0]) < 1e-8
+    idf = lambda t: math.log((1 + len(lines)) / (1 + (count[t] if t in vocab else 0))) + 1e-9
+    vec = lambda s: {t: n * idf(t) for t, n in tok(s).items()}
+    norm = lambda v: math.sqrt(sum(x * x for x in v.values()))
+    known = [(name, vec(text)) for name, text in TEMPLATES]
+    out = {}
+    for k, t in texts.items():
+        found = []
+        split, held = re.split("\r\n|\r|\n", t), []
+        paragraphs = []
+        for x in [*split, ""]:
+            if tok(x):
+                held.append(x)
+            elif held:
+                paragraphs.append(" ".join(held))
+                held = []
+        for unit in {*split, *paragraphs, t}:
+            a = vec(unit)
+            for name, v in known if a else ():
+                c = round(sum(w * v.get(x, 0) for x, w in a.items()) / (norm(a) * norm(v)), 9)
+                if c >= least:
+                    found.append((-c, name))
+        out[k] = min(found, default=None)
+    return out
+
+
+def check_licenses(got, texts):
+    for k, best in best_licenses(texts).items():
+        license_, score = got[k]
+        assert (license_ is None) == (best is None)
+        if best:
+            assert abs(score + best[0]) < 1e-6 and (license_ == best[1] or abs(score + best[0]) < 1e-8)
+
+
+def test_licenses_of_headers_and_files(spark):
+    """Wrapped headers in comment marks, licence files and lines, by hand."""
+    import re
+
+    from tidemark.llm.licenses import TEMPLATES, scan
+
+    full = {n: max((t for m, t in TEMPLATES if m == n), key=len) for n, _ in TEMPLATES}
+    wrap = lambda t, mark: "\n".join(mark + " " + x for x in re.findall(r"(?:\S+\s*){1,9}", t))
+    mit = re.sub(r"(The above copyright notice|THE SOFTWARE IS)", r"\n\n\1", full["MIT"])
+    texts = {
+        1: "Released under the MIT License.\nplain words here", 2: "we work under the mit license of old", 3: "GNU General Public License version 3 or any later one", 4: "nothing at all", 5: f"MIT License\n\nCopyright (c) 2020 Some One\n\n{mit}",
+        6: "/*\n" + wrap(full["GPL-3.0"], " *") + "\n */\n\nint main(void) { return 0; }\n" * 5, 7: "# Copyright 2019 Us\r\n#\r\n" + wrap(full["BSD-3-Clause"], "#").replace("\n", "\r\n") + "\r\n\r\nimport os", 8: "", 9: "\n\n", 10: wrap(full["ISC"], "//") + "\n\ncode",
+        11: "x " * 30_000 + "\n\n" + wrap(full["AGPL-3.0"], ""),
+    }
+    got = {r.id: (r.own_license, r.own_score) for r in scan(spark.createDataFrame([(k, f"d/{k}", v) for k, v in texts.items()], "id int, path string, text string")).collect()}
+    check_licenses(got, texts)
+    assert {k: got[k][0] for k in (5, 6, 7, 10, 11)} == {5: "MIT", 6: "GPL-3.0", 7: "BSD-3-Clause", 10: "ISC", 11: "AGPL-3.0"}
 
 
 def test_license_scan_on_tables(spark, sf):
-    got = {r.doc_id: r.own_license for r in Q.op2_license_scan(spark, sf).collect()}
-    for d, t in docs_of(spark, sf):
-        assert (got[d] is not None) == ("licensed under" in (t or "").lower() or "MIT License" in (t or ""))
+    q = Q.op2_license_scan(spark, sf)
+    assert not any(x in q._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Pandas", "Arrow"))
+    rows = {r.doc_id: r for r in q.collect()}
+    texts = {d: t or "" for d, t in docs_of(spark, sf)}
+    check_licenses({d: (r.own_license, r.own_score) for d, r in rows.items()}, texts)
+    assert any(r.own_license for r in rows.values())
+    declared = {}
+    for r in rows.values():
+        if r.own_license and r.path.rsplit("/", 1)[1].startswith("LICENSE"):
+            declared.setdefault(r.path.rsplit("/", 1)[0], []).append((-r.own_score, r.own_license))
+    for r in rows.values():
+        folder, above = r.path.rsplit("/", 1)[0], None
+        while folder and above is None:
+            above = (folder, min(declared[folder])[1]) if folder in declared else None
+            folder = folder.rpartition("/")[0]
+        if r.own_license:
+            assert (r.license, r.license_from, r.directory) == (r.own_license, "own", None)
+        else:
+            assert (r.license, r.license_from, r.directory) == ((above[1], "directory", above[0]) if above else (None, None, None))
 
 
 # 3 mixing

@@ -1,17 +1,19 @@
-"""License scans: sparse TF-IDF cosine of text lines to license templates, then inheritance from the nearest directory by path joins.
+"""License scans: sparse TF-IDF cosine of headers and licence files to templates, then inheritance from the nearest directory by path joins.
 
-Each line of a whole text is a vector of its tokens (runs of letters and digits, lower-cased), weighted by count times idf. The idf of a
-template token is ln((1 + lines) / (1 + lines that hold it)) over all lines of the corpus; a token of no template has the idf of a token
-in no line. A file's own license is the template with the best cosine over its lines, if that reaches `least`.
+A text is looked at in three units: each line, each paragraph (lines up to one without a token, so that a notice wrapped over lines or set in
+comment marks is one unit), and the whole file. A unit is a vector of its tokens (runs of letters and digits, lower-cased), weighted by count
+times idf. The idf of a template token is ln((1 + lines) / (1 + lines that hold it)) over all lines of the corpus; a token of no template has
+the idf of a token in no line. Templates are one-line notices, standard headers and the texts of licence files. A file's own license is that
+of the template with the best cosine over its units, if that reaches `least`.
 
-Only lines that can reach it are scored: a cosine is at most the share of the template's norm on the tokens in common, so a line needs a
+Only units that can reach it are scored: a cosine is at most the share of the template's norm on the tokens in common, so a unit needs a
 token outside the lightest ones that together hold less than least ** 2 of the template's squared norm. Those core tokens are few and become
-one array literal.
+one array literal. The texts are read twice: for the idf, and for the units' terms, which are written to the shared folder.
 
 A file named like LICENSE or COPYING declares its license for its directory. A file without one of its own takes that of the nearest
 directory above it that declares one: its ancestor paths are joined with the declaring directories and the longest wins.
 
-Defined results: null text has no lines, null path no directory; rows with one id share the best line among them, a null id has none; templates with equal cosine go by name; of several license files in one
+Defined results: null text has no lines, null path no directory; rows with one id share the best unit among them, a null id has none; templates with equal cosine go by name; of several license files in one
 directory the best score wins, then the name; repeated rows are scanned alike; an empty table gives no rows; other columns are ignored.
 """
 
@@ -28,19 +30,38 @@ from tidemark.llm.common import staged, values
 
 TOKEN = r"[a-z0-9]+"
 
-#: Short notices as they stand in headers and license files (SPDX identifier, text).
+#: Notices, headers and licence texts as they are published (SPDX identifier, text).
 TEMPLATES = (
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at"),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
     ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("BSL-1.0", "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so"),
     ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has dedicated this work to the public domain under CC0."),
+    ("EPL-2.0", "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/"),
     ("GPL-2.0", "This program is licensed under the GNU General Public License, version 2."),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991 Copyright (C) 1989, 1991 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007 Copyright (C) 2007 Free Software Foundation, Inc. Everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
     ("LGPL-3.0", "This library is licensed under the GNU Lesser General Public License, version 3."),
+    ("LGPL-3.0", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 3 of the License, or (at your option) any later version."),
     ("MIT", "Released under the MIT License."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("Unlicense", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
+    ("Zlib", "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:"),
 )
 FILES = r"(?i)^(licen[sc]e|copying|unlicense)([._-].*)?$"
 
@@ -52,6 +73,15 @@ def _lines(files: DataFrame) -> DataFrame:
     return lines.select("id", "line_no", F.regexp_extract_all("line", F.lit(TOKEN), 0).alias("tokens"))
 
 
+def _units(files: DataFrame, core: Column) -> DataFrame:
+    """(id, unit, tokens) of the lines, paragraphs and whole texts that hold a token of core. Unit numbers are unlike within a file."""
+    text = F.regexp_replace(F.lower(F.col("text")), r"\r\n?", "\n")
+    pieces = F.concat(F.array(text), F.split(text, r"\n(?:[^a-z0-9\n]*\n)+"), F.split(text, r"\n"))
+    units = files.where("text IS NOT NULL").select("id", F.posexplode(pieces).alias("unit", "piece"))
+    units = units.select("id", "unit", F.regexp_extract_all("piece", F.lit(TOKEN), 0).alias("tokens"))
+    return units.where(F.arrays_overlap("tokens", core))
+
+
 def core_tokens(vectors: dict[str, dict[str, float]], least: float) -> list[str]:
     """Tokens of which a line must have at least one to reach the cosine `least` with any template."""
     core = set()
@@ -72,8 +102,8 @@ def _has_any(text: Column, tokens: list[str]) -> Column:
 def scan(files: DataFrame, templates=TEMPLATES, least: float = 0.6) -> DataFrame:
     """id, path, own_license, own_score, license, license_from (own, directory or null), directory for every row of files(id, path, text)."""
     spark = files.sparkSession
-    counts = {name: Counter(re.findall(TOKEN, text.lower())) for name, text in templates}
-    vocab = sorted({t for c in counts.values() for t in c})
+    names, counts = [n for n, _ in templates], [Counter(re.findall(TOKEN, text.lower())) for _, text in templates]
+    vocab = sorted({t for c in counts for t in c})
     known = F.array(*map(F.lit, vocab))
     # every line also counts for the empty token
     df = _lines(files).select(F.explode(F.array_append(F.array_intersect("tokens", known), F.lit(""))).alias("t"))
@@ -81,18 +111,21 @@ def scan(files: DataFrame, templates=TEMPLATES, least: float = 0.6) -> DataFrame
     n_lines = per.get("", 0)
     idf = {t: math.log((1 + n_lines) / (1 + per.get(t, 0))) + 1e-9 for t in vocab}
     other = math.log(1 + n_lines) + 1e-9
-    vectors = {name: {t: k * idf[t] for t, k in c.items()} for name, c in counts.items()}
-    core = core_tokens(vectors, least)
-
-    lines = _lines(files.where(_has_any(F.col("text"), core))).where(F.arrays_overlap("tokens", F.array(*map(F.lit, core))))
-    terms = lines.select("id", "line_no", F.explode("tokens").alias("token")).groupBy("id", "line_no", "token").agg(F.count(F.lit(1)).alias("tf"))
-    idfs = values(spark, [(t, x) for t, x in idf.items()], "token STRING, idf DOUBLE")
-    terms = terms.join(F.broadcast(idfs), "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    norms = terms.groupBy("id", "line_no").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    unit = [(name, t, x / math.sqrt(sum(y * y for y in v.values()))) for name, v in vectors.items() for t, x in v.items()]
-    weights = values(spark, unit, "name STRING, token STRING, x DOUBLE")
-    dots = terms.join(F.broadcast(weights), "token").groupBy("id", "line_no", "name").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
-    cosine = dots.join(norms, ["id", "line_no"]).select("id", "name", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= least)
+    vectors = [{t: k * idf[t] for t, k in c.items()} for c in counts]
+    core = core_tokens(dict(enumerate(vectors)), least)
+
+    units = _units(files.where(_has_any(F.col("text"), core)), F.array(*map(F.lit, core)))
+    # one exchange of the units' tokens serves the counts and the norms
+    idfs = F.broadcast(values(spark, [(t, x) for t, x in idf.items()], "token STRING, idf DOUBLE"))
+    terms = units.repartition("id", "unit").select("id", "unit", F.explode("tokens").alias("token")).groupBy("id", "unit", "token").agg(F.count(F.lit(1)).alias("tf"))
+    terms = terms.join(idfs, "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
+    mine = F.collect_list(F.when(F.col("idf").isNotNull(), F.struct(F.col("token").alias("t"), "w")))
+    units = staged(terms.groupBy("id", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), mine.alias("terms")), "units")
+    unit = [(j, names[j], t, x / math.sqrt(sum(y * y for y in v.values()))) for j, v in enumerate(vectors) for t, x in v.items()]
+    weights = values(spark, unit, "j INT, name STRING, token STRING, x DOUBLE")
+    rows = units.select("id", "unit", "norm", F.explode("terms").alias("x")).select("id", "unit", "norm", F.col("x.t").alias("token"), F.col("x.w").alias("w"))
+    dots = rows.join(F.broadcast(weights), "token").groupBy("id", "unit", "norm", "j", "name").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
+    cosine = dots.select("id", "name", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= least)
     best = cosine.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b"))
     best = staged(best.select("id", F.col("b.name").alias("own_license"), (-F.col("b.s")).alias("own_score")), "licenses")
 
