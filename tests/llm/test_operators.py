@@ -223,6 +223,26 @@ def test_mix_odd(spark):
     assert {r.taken for r in mix_counts(nothing).collect()} == {0}
 
 
+def test_mix_broadcasts_only_what_is_small(spark, sf):
+    """The joins of slots and of documents have no hint: above Spark's size limit they shuffle, with the same rows."""
+    from tidemark.llm.mixing import mix_counts
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    usual = Counter(mix_counts(docs).collect())
+    limits = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    before = {k: spark.conf.get(k, None) for k in limits}
+    try:
+        for k in limits:
+            spark.conf.set(k, "1")
+        out = mix_counts(docs)
+        assert Counter(out.collect()) == usual
+        plan = out._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan and "NestedLoop" not in plan
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def test_permutation_is_one():
     from tidemark.llm.mixing import permute
 
