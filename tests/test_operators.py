@@ -1,8 +1,10 @@
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidemark.operators import collections as C
 from tidemark.operators import keyed as K
+from tidemark.operators import ordered as O
 from tidemark.operators import ranking as R
 from tidemark.operators import schema as M
 from tidemark.operators import spatial as X
@@ -90,6 +92,35 @@ def test_lists_and_bits(spark):
     assert list(got) == [["z", "x"], "x", None, ["x", "Y", "x", "z", "x"], ["x", "y", "x", "z"], ["y", "z", "x"], ["x", "y", "x", "n", "z", "x"], ["x", "y", "x", "z", "n", "x"], 2, 4, None, [], 26, 1, 0]
 
 
+@pytest.mark.parametrize("per", [5, 40, 100_000])
+def test_positions_by_ranges_are_those_of_one_window(spark, per):
+    hot = [("hot", float(i % 3), i // 3 if i % 7 else None, i) for i in range(120)]
+    df = spark.createDataFrame([*hot, ("cold", 1.0, 1, 500), (None, None, 2, 501), (None, 2.0, 2, 502)], "part string, score double, member int, id long")
+    order = [F.col("score"), F.col("member"), F.col("id")]
+    got = O.numbered(df, ["part"], order, "r", "t", per)
+    w = Window.partitionBy("part")
+    want = df.withColumn("r", F.row_number().over(w.orderBy(*order))).withColumn("t", F.count(F.lit(1)).over(w))
+    assert rows(got, "id", "r", "t") == rows(want, "id", "r", "t")
+    entries = df.where("id < 500").select(F.col("id").cast("string").alias("player"), "score", F.lit(5).alias("ts"))
+    best = sorted(entries.collect(), key=lambda x: (-x.score, x.player))
+    assert [x.player for x in R.ranks(entries, per=per).orderBy("rank").collect()] == [x.player for x in best]
+    z = df.where("id < 500").select("part", "score", F.col("id").alias("member"))
+    down = sorted(z.collect(), key=lambda x: (-x.score, -x.member))
+    assert [x.member for x in C.zrank(z, ["part"], reverse=True, per=per).orderBy("rank").collect()] == [x.member for x in down]
+
+
+@pytest.mark.parametrize("per", [4, 100_000])
+def test_stream_gate_over_many_ranges(spark, per):
+    data = [("hot" if i % 5 else "cold", (i * 37) % 101 + i // 2, i % 3, i) for i in range(90)]
+    want, last = [], {}
+    for k, ms, seq, at in data:
+        if (ms, seq) > last.get(k, (-1, -1)):
+            want.append((at,))
+            last[k] = (ms, seq)
+    s = spark.createDataFrame(data, "key string, ms long, seq long, arrival long")
+    assert rows(C.stream_gate(s, "arrival", "key", per), "arrival") == want
+
+
 def test_stream_gate(spark):
     s = spark.createDataFrame([("k", 1, 0, 1), ("k", 1, 0, 2), ("k", 2, 5, 3), ("k", 2, 4, 4), ("j", 1, 0, 5)], "key string, ms long, seq long, arrival long")
     assert rows(C.stream_gate(s, "arrival", "key"), "arrival") == [(1,), (3,), (5,)]

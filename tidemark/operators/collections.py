@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import PER_RANGE, numbered, running_max
+
 
 # sets: (key, member)
 
@@ -48,11 +50,10 @@ def pick(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
 # sorted sets: (member, score), ordered by score, then member
 
 
-def zrank(z: DataFrame, parts: list[str] | None = None, reverse: bool = False) -> DataFrame:
-    """0-based positions within the parts. Without parts use ranking.ranks, which needs no single task."""
-    order = [F.col("score").desc(), F.col("member").desc()] if reverse else [F.col("score"), F.col("member")]
-    w = Window.partitionBy(*(parts or [F.lit(0)])).orderBy(*order)
-    return z.withColumn("rank", (F.row_number().over(w) - 1).cast("bigint"))
+def zrank(z: DataFrame, parts: list[str] | None = None, reverse: bool = False, per: int = PER_RANGE) -> DataFrame:
+    """0-based positions within the parts, from the highest down if reverse; a hot part is ordered in many tasks."""
+    r = numbered(z, parts or [], [F.col("score"), F.col("member")], "rank", "_total", per)
+    return r.withColumn("rank", F.col("_total") - F.col("rank") if reverse else F.col("rank") - 1).drop("_total")
 
 
 def zrange(z: DataFrame, start: int, stop: int, parts: list[str], reverse: bool = False) -> DataFrame:
@@ -224,11 +225,10 @@ def get_bit(binary: Column, i: int) -> Column:
 # streams: (key, ms, seq, ...), ids strictly increase
 
 
-def stream_gate(entries: DataFrame, arrival: str, part: str) -> DataFrame:
+def stream_gate(entries: DataFrame, arrival: str, part: str, per: int = PER_RANGE) -> DataFrame:
     """Entries accepted in arrival order: an id not above all ids before it in its stream is refused."""
-    before = Window.partitionBy(part).orderBy(arrival).rowsBetween(Window.unboundedPreceding, -1)
-    top = F.max(F.struct("ms", "seq")).over(before)
-    return entries.withColumn("_top", top).where(F.col("_top").isNull() | (F.struct("ms", "seq") > F.col("_top"))).drop("_top")
+    seen = running_max(entries, part, arrival, F.struct("ms", "seq"), "_last", per)
+    return seen.where(F.col("_last").isNull() | (F.struct("ms", "seq") > F.col("_last"))).drop("_last")
 
 
 def stream_range(entries: DataFrame, lo: tuple[int, int], hi: tuple[int, int], count: int | None = None, reverse: bool = False) -> DataFrame:

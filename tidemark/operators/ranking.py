@@ -1,6 +1,6 @@
 """Leaderboards: score order with ties by time, ranks, percentiles, neighbours, windows of time, regional merges.
 
-Ranks over a whole board never sort it in one task: `ranks` numbers rows inside score ranges and adds the sizes of the ranges above.
+Ranks over a whole board never sort it in one task: `ranks` numbers rows inside ranges and adds the sizes of the ranges above (`ordered`).
 """
 
 from __future__ import annotations
@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ordered import PER_RANGE, numbered
+
 ORDER = ("score", "ts", "player")
 BUCKETS_MS = {"daily": 86_400_000, "monthly": 2_629_746_000}
 
@@ -34,24 +36,11 @@ def top(entries: DataFrame, n: int, parts: list[str] | None = None, ascending: b
     return entries.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= n)
 
 
-def ranks(entries: DataFrame, ascending: bool = False, ranges: int = 64) -> DataFrame:
-    """Every entry with its unique 1-based rank and the board's total.
-
-    Quantiles of the score (a bounded sketch) deal the entries into ranges; ranges are ordered each on its own.
-    """
-    cuts = sorted(set(entries.agg(F.percentile_approx("score", [i / ranges for i in range(1, ranges)], 1000)).first()[0] or []))
-    b = F.lit(0)
-    for c in cuts:
-        b = b + (F.col("score") > F.lit(c)).cast("int")
-    b = b if ascending else F.lit(len(cuts)) - b
-    dealt = entries.withColumn("_b", b)
-    sizes = dealt.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))  # at most `ranges` rows
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy()
-    sizes = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_o"), F.sum("_n").over(whole).alias("total"))
-    inside = Window.partitionBy("_b").orderBy(*_order(ascending))
-    out = dealt.withColumn("_i", F.row_number().over(inside)).join(F.broadcast(sizes), "_b")
-    return out.withColumn("rank", (F.col("_i") + F.col("_o")).cast("bigint")).drop("_b", "_i", "_o")
+def ranks(entries: DataFrame, ascending: bool = False, per: int = PER_RANGE) -> DataFrame:
+    """Every entry with its unique 1-based rank and the board's total; ranges of (score, ts, player) are ordered each on its own."""
+    signed = F.col("score") if ascending else -F.col("score")
+    last = F.col("score").isNotNull() if ascending else F.col("score").isNull()  # where an entry without a score goes
+    return numbered(entries, [], [last, signed, F.col("ts"), F.col("player")], "rank", "total", per)
 
 
 def percentile(rank: Column, total: Column) -> Column:
@@ -60,9 +49,9 @@ def percentile(rank: Column, total: Column) -> Column:
 
 
 def around(ranked: DataFrame, player, k: int) -> DataFrame:
-    """Entries at most k ranks from a player's: the player's rank is one row, the rest a range filter."""
-    own = ranked.where(F.col("player") == F.lit(player)).select(F.col("rank").alias("_r"))
-    return ranked.join(F.broadcast(own.limit(1)), F.abs(F.col("rank") - F.col("_r")) <= k).drop("_r")
+    """Entries at most k ranks from a player's: that one rank is fetched, the rest is a filter. Without the player, no rows."""
+    own = ranked.where(F.col("player") == F.lit(player)).select("rank").first()
+    return ranked.where(F.col("rank").between(own[0] - k, own[0] + k)) if own else ranked.where(F.lit(False))
 
 
 def rank_range(ranked: DataFrame, first: int, last: int) -> DataFrame:
