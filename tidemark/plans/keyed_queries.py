@@ -526,7 +526,11 @@ def geo_search(spark, d):
     return X.geo_radius(places(spark, d), 15.0, 37.0, 2_500_000.0).select("member", G.to_unit(F.col("dist"), "km").alias("km"))
 
 
-@query("geo_box_search")
+#: Great-circle distance of two points on a sphere, in metres.
+APART = "2.0 * 6372797.560856 * asin(sqrt(pow(sin((radians({b}) - radians({y})) / 2), 2) + cos(radians({y})) * cos(radians({b})) * pow(sin((radians({a}) - radians({x})) / 2), 2)))"
+
+
+@query("geo_box_search", f"WITH {PLACES} SELECT member FROM places WHERE {APART.format(x='lon', y='lat', a='lon', b='37.0')} <= 1000000 AND {APART.format(x='15.0', y='lat', a='lon', b='lat')} <= 1500000")
 def geo_box_search(spark, d):
     return X.geo_box(places(spark, d), 15.0, 37.0, 3_000_000.0, 2_000_000.0).select("member")
 
@@ -543,7 +547,8 @@ def geo_score(spark, d):
     return places(spark, d).where(F.abs("lat") < 85).select("member", G.score(F.col("lon"), F.col("lat")).alias("score"))
 
 
-@query("geo_hash_text")
+@query("geo_hash_text", f"""WITH {PLACES}, h AS (SELECT member, {_bits('(lat + 90) / 180 * 67108864')} | ({_bits('(lon + 180) / 360 * 67108864')} << 1) AS h FROM places)
+    SELECT member, array_to_string(list_transform(range(10), lambda i: substr('{G.BASE32}', CAST(((h >> CAST(47 - 5 * i AS INT)) & 31) + 1 AS INT), 1)), '') || '0' AS geohash FROM h""")
 def geo_hash_text(spark, d):
     return places(spark, d).select("member", G.geohash(F.col("lon"), F.col("lat")).alias("geohash"))
 
@@ -672,6 +677,16 @@ def schema_row_policy(spark, d):
     return load(spark, d, "orders").where(M.row_policy("owner_field", "1-URGENT", "player", "o_orderpriority")).select("o_orderkey")
 
 
+POLICIES = (("public", "player"), ("owner_field", "player"), ("owner_field", "system"), ("role_gated", "player"), ("role_gated", "judge"), ("owner_field_with_admin", "admin"), ("owner_field_with_admin", "player"))
+
+
+@query("schema_row_policies", "SELECT p || '/' || r AS seen_by, count(*) AS n FROM orders, (VALUES " + ", ".join(str(x) for x in POLICIES) + """) AS t(p, r)
+    WHERE p = 'public' OR r IN ('system', 'admin', 'judge') OR (p <> 'role_gated' AND o_orderpriority = '1-URGENT') GROUP BY p, r""")
+def schema_row_policies(spark, d):
+    seen = [F.when(M.row_policy(p, "1-URGENT", r, "o_orderpriority", ("judge",)), F.lit(f"{p}/{r}")) for p, r in POLICIES]
+    return load(spark, d, "orders").select(F.explode(F.array_compact(F.array(*seen))).alias("seen_by")).groupBy("seen_by").agg(F.count(F.lit(1)).alias("n"))
+
+
 @query("scan_column", "SELECT c_custkey, nullif(c_nationkey, 3) AS c_nationkey FROM customer ORDER BY c_custkey")
 def scan_column(spark, d):
     return column_scan(load(spark, d, "customer").withColumn("c_nationkey", F.nullif("c_nationkey", F.lit(3))), "c_custkey", "c_nationkey")
@@ -706,12 +721,17 @@ def scan_total_rows(spark, d):
     return total_rows(_all(spark, d))
 
 
-@query("scan_catalog_columns")
+_NAMED = "table_name IN (" + ", ".join(f"'{t}'" for t in TABLES) + ")"
+
+
+@query("scan_catalog_columns", f"""SELECT DISTINCT table_name, column_name, ordinal_position::INT AS ordinal_position, 'YES' AS is_nullable,
+    CASE WHEN data_type = 'VARCHAR' THEN 'string' WHEN data_type = 'INTEGER' THEN 'int' WHEN data_type = 'TIMESTAMP' THEN 'timestamp_ntz' WHEN data_type LIKE '%[]' THEN 'array<' || lower(replace(data_type, '[]', '')) || '>' ELSE lower(data_type) END AS data_type
+    FROM information_schema.columns WHERE {_NAMED}""")
 def scan_catalog_columns(spark, d):
     return catalog_columns(_all(spark, d))
 
 
-@query("scan_catalog_tables")
+@query("scan_catalog_tables", f"SELECT DISTINCT table_name, 'public' AS table_schema, 'BASE TABLE' AS table_type FROM information_schema.tables WHERE {_NAMED}")
 def scan_catalog_tables(spark, d):
     return catalog_tables(_all(spark, d))
 

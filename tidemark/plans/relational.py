@@ -52,8 +52,8 @@ STATEMENTS: dict[str, tuple[str, str | None]] = {
         "SELECT a.k, sum(n)::BIGINT AS customers, count(*) AS suppliers FROM (SELECT nullif(c_nationkey, 3) AS k, count(*) AS n FROM customer GROUP BY 1) a JOIN (SELECT s_suppkey, nullif(s_nationkey, 3) AS k FROM supplier) b ON a.k IS NOT DISTINCT FROM b.k GROUP BY a.k"),
     "rel_semi_exists": ("SELECT c_custkey FROM customer c WHERE EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_totalprice > 200000)", None),
     "rel_anti_not_exists": ("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM orders o WHERE o.o_custkey = c.c_custkey AND o_totalprice > 300000)", None),
-    "rel_not_in_nulls": ("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM (SELECT nullif(s_nationkey, 3) AS k FROM supplier WHERE s_suppkey % 4 = 0) s WHERE s.k = c.c_nationkey)",
-        "SELECT c_custkey FROM customer WHERE NOT coalesce(c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_suppkey % 4 = 0 AND s_nationkey <> 3), false)"),
+    "rel_not_in_nulls": ("SELECT c_custkey FROM customer c WHERE NOT EXISTS (SELECT 1 FROM (SELECT nullif(s_nationkey, 3) AS k FROM supplier WHERE s_acctbal > 9000) s WHERE s.k = c.c_nationkey)",
+        "SELECT c_custkey FROM customer WHERE NOT coalesce(c_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_acctbal > 9000 AND s_nationkey <> 3), false)"),
     "rel_qualified_star": ("SELECT n.*, r_name FROM nation n JOIN region r ON n_regionkey = r_regionkey", None),
     "rel_distinct_order": ("SELECT DISTINCT c_mktsegment, c_nationkey FROM customer ORDER BY c_nationkey DESC, c_mktsegment", None),
     "rel_first_of_group": ("SELECT c_nationkey, min_by(c_name, c_custkey) AS first_name, count(*) AS n FROM customer GROUP BY c_nationkey", "SELECT c_nationkey, arg_min(c_name, c_custkey) AS first_name, count(*) AS n FROM customer GROUP BY c_nationkey"),

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from tidemark.plans.subscribe import Subscription, live
+from tidemark.sources.logs import work_dir
 
 
 def change_log(spark: SparkSession, path: str, schema, files_per_trigger: int | None = None) -> DataFrame:
@@ -21,6 +23,16 @@ def change_log(spark: SparkSession, path: str, schema, files_per_trigger: int |
     return reader.parquet(path)
 
 
+def table_stream(spark: SparkSession, root: str, name: str) -> DataFrame:
+    """A table of a folder as a stream, be it one file or a folder of files."""
+    path = f"{root}/{name}.parquet"
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema)
+    if where.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(where).isFile():
+        return reader.option("pathGlobFilter", f"{name}.parquet").parquet(root)
+    return reader.parquet(path)
+
+
 def diffs(sub: Subscription, log: DataFrame) -> DataFrame:
     """A subscription's diffs; stateless."""
     return live(sub, log)
@@ -60,28 +72,41 @@ def monotonic_gate(entries: DataFrame) -> DataFrame:
 
 
 def presence(beats: DataFrame, user: str = "user_id", time: str = "ts", idle: str = "1 minute", offline: str = "5 minutes", late: str = "10 seconds") -> DataFrame:
-    """Online, then Idle and Offline when no heartbeat came for so long: (user, status, at), by event time timers."""
+    """Online, then Idle and Offline when no heartbeat came for so long: (user, status, at), by event time.
+
+    Gaps between heartbeats count whether or not they come in one batch; after the last one the watermark runs the timers.
+    """
     idle_ms, offline_ms = (int(pd.Timedelta(x).total_seconds() * 1000) for x in (idle, offline))
 
+    def lapse(user, last: int, status: str, until: int, out: list) -> str:
+        if status == "Online" and last + idle_ms <= until:
+            status = "Idle"
+            out.append((user, status, last + idle_ms))
+        if status == "Idle" and last + offline_ms <= until:
+            status = "Offline"
+            out.append((user, status, last + offline_ms))
+        return status
+
     def track(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last, status = state.get if state.exists else (0, "Offline")
-        out = []
+        last, status = state.get if state.exists else (None, "Offline")
+        out: list[tuple] = []
+        now = state.getCurrentWatermarkMs()
         if state.hasTimedOut:
-            if status == "Online":
-                status = "Idle"
-                out.append((key[0], status, last + idle_ms))
-                state.update((last, status))
-                state.setTimeoutTimestamp(max(last + offline_ms, state.getCurrentWatermarkMs() + 1))
-            else:
-                out.append((key[0], "Offline", last + offline_ms))
-                state.remove()
+            status = lapse(key[0], last, status, now, out)
+        else:
+            ms = np.unique(np.concatenate([p["ms"].to_numpy() for p in batches]))
+            for at in map(int, ms if last is None else ms[ms > last]):
+                if last is not None:
+                    status = lapse(key[0], last, status, at, out)
+                if status != "Online":
+                    status = "Online"
+                    out.append((key[0], status, at))
+                last = at
+        if status == "Offline":
+            state.remove()
         else:
-            for pdf in batches:
-                last = max(last, int(pdf["ms"].max()))
-            if status != "Online":
-                out.append((key[0], "Online", last))
-            state.update((last, "Online"))
-            state.setTimeoutTimestamp(max(last + idle_ms, state.getCurrentWatermarkMs() + 1))
+            state.update((last, status))
+            state.setTimeoutTimestamp(max(last + (idle_ms if status == "Online" else offline_ms), now + 1))
         yield pd.DataFrame(out, columns=["user", "status", "at"])
 
     b = beats.withWatermark(time, late).select(F.col(user).cast("string").alias("user"), F.unix_millis(F.col(time).cast("timestamp")).alias("ms"), time)
@@ -96,3 +121,26 @@ def to_parquet(df: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 def upsert_batches(df: DataFrame, apply, checkpoint: str) -> StreamingQuery:
     """Hands each micro-batch to apply(batch, id): the scheduled reducer."""
     return df.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def drained(df: DataFrame, mode: str, keys: list[str] | None = None) -> DataFrame:
+    """What a stream gives for all that there is now. In update mode the last row of each of `keys` counts.
+
+    Each micro-batch overwrites a folder of its own, so that one that is run again after a failure leaves its rows once.
+    """
+    spark = df.sparkSession
+    path = work_dir(spark, "stream")
+
+    def write(batch: DataFrame, i: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/out/_batch={i}")
+
+    q = df.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
+    q.awaitTermination()
+    where = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/out")
+    if not where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):
+        return spark.createDataFrame([], df.schema)
+    rows = spark.read.option("basePath", f"{path}/out").parquet(f"{path}/out")
+    if not keys:
+        return rows.select(*df.columns)
+    rest = [c for c in df.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "_batch").alias("_r")).select(*keys, "_r.*")
