@@ -50,10 +50,16 @@ def pick(df: DataFrame, n: int, seed: int = 0) -> DataFrame:
 # sorted sets: (member, score), ordered by score, then member
 
 
-def zrank(z: DataFrame, parts: list[str] | None = None, reverse: bool = False, per: int = PER_RANGE) -> DataFrame:
-    """0-based positions within the parts, from the highest down if reverse; a hot part is ordered in many tasks."""
+def zranks(z: DataFrame, parts: list[str] | None = None, per: int = PER_RANGE) -> DataFrame:
+    """0-based positions within the parts from the lowest up (`rank`) and from the highest down (`rev`); a hot part is ordered in many tasks."""
     r = numbered(z, parts or [], [F.col("score"), F.col("member")], "rank", "_total", per)
-    return r.withColumn("rank", F.col("_total") - F.col("rank") if reverse else F.col("rank") - 1).drop("_total")
+    return r.withColumns({"rank": F.col("rank") - 1, "rev": F.col("_total") - F.col("rank")}).drop("_total")
+
+
+def zrank(z: DataFrame, parts: list[str] | None = None, reverse: bool = False, per: int = PER_RANGE) -> DataFrame:
+    """0-based positions within the parts, from the highest down if reverse."""
+    r = zranks(z, parts, per)
+    return r.drop("rank").withColumnRenamed("rev", "rank") if reverse else r.drop("rev")
 
 
 def zrange(z: DataFrame, start: int, stop: int, parts: list[str], reverse: bool = False) -> DataFrame:

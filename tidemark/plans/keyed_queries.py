@@ -308,9 +308,7 @@ def coll_random_members(spark, d):
 
 @query("coll_zset_rank", f"WITH {ZSETS} SELECT key, member, row_number() OVER (PARTITION BY key ORDER BY score, member) - 1 AS rank, row_number() OVER (PARTITION BY key ORDER BY score DESC, member DESC) - 1 AS rev FROM z")
 def coll_zset_rank(spark, d):
-    z = zsets(spark, d)
-    rev = C.zrank(z, ["key"], reverse=True).select("key", "member", F.col("rank").alias("rev"))
-    return C.zrank(z, ["key"]).join(rev, ["key", "member"]).select("key", "member", "rank", "rev")
+    return C.zranks(zsets(spark, d), ["key"]).select("key", "member", "rank", "rev")
 
 
 @query("coll_zset_range", f"WITH {ZSETS}, k AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY score, member) - 1 AS rank, count(*) OVER (PARTITION BY key) AS n FROM z) SELECT key, member FROM k WHERE rank BETWEEN n - 12 AND n - 3")
