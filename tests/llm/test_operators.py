@@ -209,6 +209,42 @@ def test_mix(spark, sf):
     assert Counter(got) == Counter(again)
 
 
+def test_mix_takes_each_word_once_an_epoch(spark, sf):
+    """Targets by bisection; every document is taken whole in each full epoch, and in part or not at all in the last."""
+    from tidemark.llm.mixing import mix_documents
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rows = docs.collect()
+    sizes = Counter()
+    for r in rows:
+        sizes[r.source] += len(H.words(r.text))
+    order = sorted(sizes, key=lambda x: (x is None, x or ""))
+    weight = {x: (1, 2, 3)[i % 3] for i, x in enumerate(order)}
+    lo, hi = 0.0, 3.0 * sum(sizes.values())
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        lo, hi = (mid, hi) if sum(min(3 * n, mid * weight[x]) for x, n in sizes.items()) < sum(sizes.values()) else (lo, mid)
+    target = {x: min(3 * n, hi * weight[x]) for x, n in sizes.items()}
+    got = {r.doc_id: r for r in Q.op3_mixing(spark, sf).collect()}
+    said = defaultdict(int)
+    for r in rows:
+        g = got[r.doc_id]
+        assert abs(g.target - target[r.source]) < 1e-3 and g.source_size == sizes[r.source]
+        epochs = int((target[r.source] + 0.5) // sizes[r.source]) if sizes[r.source] else 0
+        assert epochs * g["size"] <= g.taken <= (epochs + 1) * g["size"]
+        said[r.source] += g.taken
+    assert all(abs(said[x] - target[x]) <= 0.51 for x in order)
+    text, mixed_words = {r.doc_id: H.words(r.text) for r in rows}, defaultdict(Counter)
+    for r in mix_documents(docs).collect():
+        w, at = H.words(r.text), iter(text[r.doc_id])
+        assert w and all(x in at for x in w)  # words of the document in its order
+        mixed_words[r.doc_id].update(w)
+    for d, w in text.items():
+        low, whole = got[d].taken // len(w) if w else 0, Counter(w)
+        assert sum(mixed_words[d].values()) == got[d].taken
+        assert all(low * n <= mixed_words[d][x] <= (low + 1) * n for x, n in whole.items())
+
+
 def test_mix_odd(spark):
     from tidemark.llm.mixing import mix_counts, mix_documents
 

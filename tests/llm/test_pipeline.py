@@ -1,5 +1,6 @@
 """The pipeline's stages, each against brute force on its own input."""
 
+import zlib
 from collections import Counter
 
 import corpus_pipeline as P
@@ -36,9 +37,34 @@ def test_pipeline(spark, sf, tmp_path):
 
 def test_pipeline_on_odd_rows(spark, sf, tmp_path):
     docs = H.odd_docs(spark)
+    columns, seen = docs.columns, []
     for i, (_, stage) in enumerate(P.STAGES):
         stage(spark, docs, sf).write.parquet(f"{tmp_path}/{i}")
-        docs = spark.read.parquet(f"{tmp_path}/{i}")
+        before, docs = docs, spark.read.parquet(f"{tmp_path}/{i}")
+        seen.append((before.collect(), docs.collect()))
+        assert docs.columns == columns or i == 4
+    for before, after in seen[:3]:  # rows go or stay as they are, each once
+        assert not Counter(after) - Counter(before)
+    before, after = seen[1]
+    sets = {r.rid: H.shingles(r.text, 5) for r in before}
+    linked = lambda a, b: bool(sets[a] and sets[b]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    kept = [r.rid for r in after]
+    assert not any(linked(a, b) for a in kept for b in kept if a < b)
+    reach = set(kept)
+    while True:  # whatever went hangs together with a row that stayed
+        more = {r.rid for r in before if any(linked(r.rid, x) for x in reach)} | reach
+        if more == reach:
+            break
+        reach = more
+    assert reach == {r.rid for r in before}
+    items = [b" ".join(H.words(r.text)).lower() for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    assert not any(i in b" ".join(H.words(r.text)).lower() for r in seen[2][1] for i in items)
+    before, after = seen[3]
+    source = {r.rid: Counter(H.words(r.text)) for r in before}
+    assert {r.rid for r in after} <= set(source) and all(not Counter(H.words(r.text)) - source[r.rid] for r in after)
+    assert abs(sum(len(H.words(r.text)) for r in after) - sum(sum(c.values()) for c in source.values())) <= len({r.source for r in before})
+    before, after = seen[4]
+    assert Counter((r.doc_id, r["size"], r.text_crc32) for r in after) == Counter((r.doc_id, len((r.text or "").encode()) + 1, zlib.crc32((r.text or "").encode())) for r in before)
     docs = H.empty_docs(spark)
     for i, (_, stage) in enumerate(P.STAGES):
         stage(spark, docs, sf).write.parquet(f"{tmp_path}/e{i}")
