@@ -2,6 +2,7 @@ import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from tidemark.operators import changes as D
 from tidemark.operators import collections as C
 from tidemark.operators import keyed as K
 from tidemark.operators import ordered as O
@@ -109,6 +110,18 @@ def test_positions_by_ranges_are_those_of_one_window(spark, per):
     assert [x.member for x in C.zrank(z, ["part"], reverse=True, per=per).orderBy("rank").collect()] == [x.member for x in down]
 
 
+@pytest.mark.parametrize("per", [7, 100_000])
+def test_serial_keys_over_many_ranges(spark, monkeypatch, per):
+    monkeypatch.setattr(O.numbered, "__defaults__", (*O.numbered.__defaults__[:-1], per))
+    data = [(i * 37 % 101 if i != 50 else None, f"name {i}") for i in range(101)]
+    want = sorted((n for _, n in data), key=dict((n, (k is None, k or 0)) for k, n in data).get)
+    table = spark.createDataFrame([(4,)], "id long")
+    got = D.with_serial(spark.createDataFrame(data, "k long, name string"), table, "id", [F.col("k")])
+    assert rows(got, "id", "name") == [(5 + i, n) for i, n in enumerate(want)]
+    # no row's range may hang on how a shuffle was cut
+    assert "rangepartitioning" not in got._jdf.queryExecution().executedPlan().toString().lower()
+
+
 @pytest.mark.parametrize("per", [4, 100_000])
 def test_stream_gate_over_many_ranges(spark, per):
     data = [("hot" if i % 5 else "cold", (i * 37) % 101 + i // 2, i % 3, i) for i in range(90)]

@@ -4,20 +4,18 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from tidemark.operators import ordered
+from tidemark.operators.ordered import nulls_last
+
 
 def numbered(df: DataFrame, order: list[Column], out: str = "n") -> DataFrame:
-    """A gapless number from 1 in the given order. Ranges of rows are numbered apart and moved by the rows before them, so that no task
-    orders the whole table."""
-    keyed = df.select("*", F.struct(*order).alias("_o")).repartitionByRange("_o").withColumn("_p", F.spark_partition_id())
-    before = keyed.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
-    sums = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each range
-    before = before.select("_p", F.coalesce(F.sum("_c").over(sums), F.lit(0)).alias("_before"))
-    inside = F.row_number().over(Window.partitionBy("_p").orderBy("_o"))
-    return keyed.withColumn("_i", inside).join(F.broadcast(before), "_p").withColumn(out, (F.col("_i") + F.col("_before")).cast("long")).drop("_o", "_p", "_i", "_before")
+    """A gapless number from 1 in the given order, nulls last. Ranges of rows are numbered apart and moved by the rows before them, so that no
+    task orders the whole table. The ranges' cuts are literals: a row's range is the same wherever the plan reads it."""
+    return ordered.numbered(df, [], nulls_last(order), out)
 
 
 def with_serial(rows: DataFrame, table: DataFrame, key: str, order: list[Column]) -> DataFrame:

@@ -19,6 +19,11 @@ def _as_key(order: list[Column], kinds: list[str] | None = None) -> Column:
     return F.struct(*((c.cast(kinds[i]) if kinds else c).alias(f"k{i}") for i, c in enumerate(order)))
 
 
+def nulls_last(order: list[Column]) -> list[Column]:
+    """Keys that sort like `order` ascending, but with nulls last."""
+    return [k for c in order for k in (c.isNull(), c)]
+
+
 def dealt(df: DataFrame, order: list[Column], per: int = PER_RANGE) -> tuple[DataFrame, str | None]:
     """df with the number of the range that a row falls into, ascending by `order`, nulls first; and that column's name.
 
