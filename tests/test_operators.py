@@ -9,7 +9,7 @@ from tidemark.operators import ordered as O
 from tidemark.operators import ranking as R
 from tidemark.operators import schema as M
 from tidemark.operators import spatial as X
-from tidemark.plans import reducers
+from tidemark.plans import command_queries, reducers
 from tidemark.sources import tables as T
 
 
@@ -112,7 +112,7 @@ def test_positions_by_ranges_are_those_of_one_window(spark, per):
 
 @pytest.mark.parametrize("per", [7, 100_000])
 def test_serial_keys_over_many_ranges(spark, monkeypatch, per):
-    monkeypatch.setattr(O.numbered, "__defaults__", (*O.numbered.__defaults__[:-1], per))
+    monkeypatch.setattr(O, "PER_RANGE", per)
     data = [(i * 37 % 101 if i != 50 else None, f"name {i}") for i in range(101)]
     want = sorted((n for _, n in data), key=dict((n, (k is None, k or 0)) for k, n in data).get)
     table = spark.createDataFrame([(4,)], "id long")
@@ -122,6 +122,20 @@ def test_serial_keys_over_many_ranges(spark, monkeypatch, per):
     assert "rangepartitioning" not in got._jdf.queryExecution().executedPlan().toString().lower()
 
 
+@pytest.mark.parametrize("per", [7, 100_000])
+def test_sorted_customers_over_many_ranges(spark, monkeypatch, tmp_path, per):
+    """Ties, nulls and NaN as in the query's SQL."""
+    duckdb = pytest.importorskip("duckdb")
+    monkeypatch.setattr(O, "PER_RANGE", per)
+    odd = [(200, None), (None, None), (None, 3.0), (None, 3.0), (201, float("nan")), (202, float("inf")), (203, -0.0), (204, 0.0), (5, 5.0), (5, 5.0)]
+    df = spark.createDataFrame([(i, float(i * 37 % 23)) for i in range(100)] + odd, "c_custkey long, c_acctbal double")
+    df.coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    customer = duckdb.sql(f"FROM read_parquet('{tmp_path}/customer.parquet/*.parquet')")  # noqa: F841  read by the SQL
+    want = duckdb.sql(command_queries.oracle_sql()["fn_sort_by"]).fetchall()
+    got = command_queries.queries()["fn_sort_by"](spark, str(tmp_path)).select("c_custkey", "n").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
 @pytest.mark.parametrize("per", [4, 100_000])
 def test_stream_gate_over_many_ranges(spark, per):
     data = [("hot" if i % 5 else "cold", (i * 37) % 101 + i // 2, i % 3, i) for i in range(90)]

@@ -24,6 +24,11 @@ def nulls_last(order: list[Column]) -> list[Column]:
     return [k for c in order for k in (c.isNull(), c)]
 
 
+def descending(number: Column) -> list[Column]:
+    """Keys that sort ascending like a floating number does descending, nulls last: NaN counts as the largest number."""
+    return [number.isNull(), ~F.isnan(number), -number]
+
+
 def dealt(df: DataFrame, order: list[Column], per: int = PER_RANGE) -> tuple[DataFrame, str | None]:
     """df with the number of the range that a row falls into, ascending by `order`, nulls first; and that column's name.
 
@@ -59,11 +64,16 @@ def _before(parts: list[str], b: str):
     return Window.partitionBy(*parts).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
 
 
-def numbered(df: DataFrame, parts: list[str], order: list[Column], rank: str, total: str | None = None, per: int = PER_RANGE) -> DataFrame:
-    """Adds `rank`, a row's 1-based position within its part by `order` (all ascending, nulls first), and `total`, the part's rows."""
+def numbered(df: DataFrame, parts: list[str], order: list[Column], rank: str, total: str | None = None, per: int | None = None, ties: bool = False) -> DataFrame:
+    """Adds `rank`, a row's 1-based position within its part by `order` (all ascending, nulls first), and `total`, the part's rows.
+
+    With `ties`, rows alike in all of `order` have the position of the first of them, as in rank().
+    """
+    position = F.rank() if ties else F.row_number()
+    per = per or PER_RANGE
     base, b = dealt(df, [*map(F.col, parts), *order], per)
     if b is None:
-        out = df.withColumn(rank, F.row_number().over(Window.partitionBy(*parts).orderBy(*order)).cast("bigint"))
+        out = df.withColumn(rank, position.over(Window.partitionBy(*parts).orderBy(*order)).cast("bigint"))
         return out.withColumn(total, F.count(F.lit(1)).over(Window.partitionBy(*parts))) if total else out
     inside = Window.partitionBy(*parts, b).orderBy(*order)
     sizes = base.groupBy(*parts, b).agg(F.count(F.lit(1)).alias("_n"))  # one row for each part and range
@@ -71,7 +81,7 @@ def numbered(df: DataFrame, parts: list[str], order: list[Column], rank: str, to
     same = F.col(b) == F.col("_rb")
     for i, p in enumerate(parts):
         same &= F.col(p).eqNullSafe(F.col(f"_p{i}"))
-    out = base.withColumn("_i", F.row_number().over(inside)).join(sizes, same)
+    out = base.withColumn("_i", position.over(inside)).join(sizes, same)
     out = out.withColumn(rank, (F.col("_i") + F.col("_o")).cast("bigint"))
     out = out.withColumn(total, F.col("_t")) if total else out
     return out.drop(b, "_rb", "_i", "_o", "_t", *(f"_p{i}" for i in range(len(parts))))

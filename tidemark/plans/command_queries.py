@@ -10,6 +10,7 @@ from tidemark.functions import semantics as S
 from tidemark.operators import changes as D
 from tidemark.operators import collections as C
 from tidemark.operators import commands as M
+from tidemark.operators import ordered as O
 from tidemark.plans.keyed_queries import LISTS, LOG, PLACES, STREAM, ZSETS, Query, lists, log, places, stream, zset, zsets
 from tidemark.sources.tables import load
 
@@ -356,7 +357,8 @@ def fn_literals(spark, d):
 
 @query("fn_sort_by", "SELECT c_custkey, rank() OVER (ORDER BY c_acctbal DESC, c_custkey) AS n FROM customer")
 def fn_sort_by(spark, d):
-    return D.numbered(load(spark, d, "customer").select("c_custkey", "c_acctbal"), [-F.col("c_acctbal"), F.col("c_custkey")]).select("c_custkey", "n")
+    order = [*O.descending(F.col("c_acctbal")), *O.nulls_last([F.col("c_custkey")])]
+    return O.numbered(load(spark, d, "customer").select("c_custkey", "c_acctbal"), [], order, "n", ties=True).select("c_custkey", "n")
 
 
 @query("fn_count_matching", "SELECT count(*) AS n FROM customer WHERE c_mktsegment = 'BUILDING'")
