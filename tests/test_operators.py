@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators import changes as D
 from tidemark.operators import collections as C
+from tidemark.operators import commands as Q
 from tidemark.operators import keyed as K
 from tidemark.operators import ordered as O
 from tidemark.operators import ranking as R
@@ -148,6 +149,26 @@ def test_stream_gate_over_many_ranges(spark, per):
     assert rows(C.stream_gate(s, "arrival", "key", per), "arrival") == want
 
 
+@pytest.mark.parametrize("per", [5, 100_000])
+def test_token_bucket(spark, per):
+    """Bursts, pauses about a second long and times that are null, against plain Python; and a burst of 60 000 requests."""
+    gaps = [0, 1, 499, 500, 999, 1000, 1001, 250, 333, 0, 0, 4000, -1]
+    data, ms = [], -3000
+    for i in range(400):
+        ms += max(gaps[i * i % 13], 0)
+        data.append(("ab"[i * 7 % 3 // 2], ms, i))
+    data += [("a", None, 1000), ("b", None, None), ("a", 5, None)] + [("busy", i // 2, 2000 + i) for i in range(60_000)]
+    want, state = [], {}
+    for k, t, o in sorted(data, key=lambda r: (r[0], r[1] is None, r[1] or 0, r[2] is None, r[2] or 0)):
+        tokens, before = state.get(k, (2.0, t))
+        have = 2.0 if t is None or k not in state else min(tokens + (t - before) / 1000.0 * 2.0, 2.0)
+        state[k] = (have - 1 if have >= 1 else have, t)
+        want.append((k, t, o, have >= 1))
+    s = spark.createDataFrame(data, "k string, t long, o long")
+    got = [tuple(r) for r in Q.token_bucket(s, "k", "t", "o", 2.0, per).collect()]
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_stream_gate(spark):
     s = spark.createDataFrame([("k", 1, 0, 1), ("k", 1, 0, 2), ("k", 2, 5, 3), ("k", 2, 4, 4), ("j", 1, 0, 5)], "key string, ms long, seq long, arrival long")
     assert rows(C.stream_gate(s, "arrival", "key"), "arrival") == [(1,), (3,), (5,)]

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.collections import lex_bound, lrange, score_bound, zrank
+from tidemark.operators.ordered import PER_RANGE, nulls_last, running_max
 
 # strings
 
@@ -169,21 +170,43 @@ def stream_delete(entries: DataFrame, ids: DataFrame) -> DataFrame:
 # budgets
 
 
-def token_bucket(requests: DataFrame, part: str, ts: str, order: str, per_second: float) -> DataFrame:
+def token_bucket(requests: DataFrame, part: str, ts: str, order: str, per_second: float, per: int | None = None) -> DataFrame:
     """requests with `allowed`: a bucket of per_second tokens, full at first, gains elapsed seconds times per_second, is capped, and a request
-    spends one if there is one.
+    spends one if there is one. Nulls of ts and order come last; a request without ts finds a full bucket.
 
-    What is spent depends on what was allowed before, so a bucket's requests are folded in order: an aggregate over the sorted array of one
-    part's times, which is bounded by the requests of one caller.
+    What is spent depends on what was allowed before. But a second without requests fills the bucket whatever it held, so the requests between
+    two such pauses are a burst of their own. Bursts are dealt to the tasks and folded in order as they are read: a task holds a batch and one
+    number. The doubles are added in the order of the requests, so a burst is not divided; one that never pauses is one task's work.
     """
-    rows = requests.groupBy(part).agg(F.sort_array(F.collect_list(F.struct(F.col(ts).alias("t"), F.col(order).alias("o")))).alias("_r"))
-    start = F.struct(F.lit(float(per_second)).alias("tokens"), F.lit(None).cast("long").alias("t"), F.array().cast("array<boolean>").alias("out"))
-
-    def step(s: Column, r: Column) -> Column:
-        gained = F.coalesce((r["t"] - s["t"]).cast("double") / 1000.0 * per_second, F.lit(0.0))
-        have = F.least(s["tokens"] + gained, F.lit(float(per_second)))
-        ok = have >= 1.0
-        return F.struct(F.when(ok, have - 1.0).otherwise(have).alias("tokens"), r["t"].alias("t"), F.concat(s["out"], F.array(ok)).alias("out"))
-
-    done = rows.select(part, F.arrays_zip(F.col("_r"), F.aggregate("_r", start, step)["out"].alias("ok")).alias("_z"))
-    return done.select(part, F.explode("_z").alias("x")).select(part, F.col("x._r.t").alias(ts), F.col("x._r.o").alias(order), F.col("x.ok").alias("allowed"))
+    rows = requests.select(part, ts, order).withColumn("_s", F.floor(F.col(ts) / 1000))
+    seconds = rows.where(F.col(ts).isNotNull()).groupBy(part, "_s").agg(F.min(ts).alias("_lo"), F.max(ts).alias("_hi"))
+    per = per or PER_RANGE
+    paused = running_max(seconds, part, "_s", F.col("_hi"), "_last", per).withColumn("_at", F.when(F.col("_last").isNull() | (F.col("_lo") - F.col("_last") >= 1000), F.col("_lo")))
+    bursts = running_max(paused, part, "_s", F.col("_at"), "_since", per).select(F.col(part).alias("_p"), F.col("_s").alias("_k"), F.coalesce("_at", "_since").alias("_burst"))
+    rows = rows.join(bursts, F.col(part).eqNullSafe(F.col("_p")) & F.col("_s").eqNullSafe(F.col("_k")), "left").select(part, ts, order, "_burst")
+    keys = [part, "_burst", *nulls_last([F.col(ts), F.col(order)])]
+    dealt = rows.repartition(part, "_burst").sortWithinPartitions(*keys)
+    schema = requests.select(part, ts, order).schema.add("allowed", "boolean")
+    return dealt.mapInArrow(_folded(float(per_second)), schema)
+
+
+def _folded(full: float):
+    """The requests of bursts that follow each other in order (part, time, order, burst), with what the bucket allows."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        now, tokens, before = None, full, None
+        for b in batches:
+            allowed = []
+            for part, burst, t in zip(*(b.column(i).to_pylist() for i in (0, 3, 1)), strict=True):
+                if (part, burst) != now or t is None:
+                    now, have = (part, burst), full
+                else:
+                    have = min(tokens + (t - before) / 1000.0 * full, full)
+                ok = have >= 1.0
+                tokens, before = have - 1.0 if ok else have, t
+                allowed.append(ok)
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(allowed, pa.bool_())], names=[*b.schema.names[:3], "allowed"])
+
+    return run
