@@ -147,6 +147,18 @@ def test_licenses_of_headers_and_files(spark):
     assert {k: got[k][0] for k in (5, 6, 7, 10, 11)} == {5: "MIT", 6: "GPL-3.0", 7: "BSD-3-Clause", 10: "ISC", 11: "AGPL-3.0"}
 
 
+def test_license_scan_scores_equal_units_once(spark, monkeypatch):
+    """300 files with one notice and a line of their own: the notice is one vector, each file another."""
+    from tidemark.llm import licenses
+
+    kept, staged = {}, licenses.staged
+    monkeypatch.setattr(licenses, "staged", lambda df, name: kept.setdefault(name, staged(df, name)))
+    rows = [(i, f"d/{i}", f"Released under the MIT License.\nfile {i % 5}") for i in range(300)] + [(None, None, "Released under the MIT License.")]
+    got = licenses.scan(spark.createDataFrame(rows, "id int, path string, text string")).select("id", "own_license").collect()
+    assert sorted(r.id for r in got if r.own_license == "MIT") == list(range(300)) and len(got) == 301
+    assert kept["vectors"].count() == 1 + 5
+
+
 def test_license_scan_on_tables(spark, sf):
     q = Q.op2_license_scan(spark, sf)
     assert not any(x in q._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Pandas", "Arrow"))

@@ -8,7 +8,8 @@ of the template with the best cosine over its units, if that reaches `least`.
 
 Only units that can reach it are scored: a cosine is at most the share of the template's norm on the tokens in common, so a unit needs a
 token outside the lightest ones that together hold less than least ** 2 of the template's squared norm. Those core tokens are few and become
-one array literal. The texts are read twice: for the idf, and for the units' terms, which are written to the shared folder.
+one array literal. The texts are read twice: for the idf, and for the units' tokens, which are written to the shared folder. Units with the same
+tokens are one vector, scored once.
 
 A file named like LICENSE or COPYING declares its license for its directory. A file without one of its own takes that of the nearest
 directory above it that declares one: its ancestor paths are joined with the declaring directories and the longest wins.
@@ -114,19 +115,23 @@ def scan(files: DataFrame, templates=TEMPLATES, least: float = 0.6) -> DataFrame
     vectors = [{t: k * idf[t] for t, k in c.items()} for c in counts]
     core = core_tokens(dict(enumerate(vectors)), least)
 
+    # units of equal tokens are scored once, so that a notice that all files have is one vector
     units = _units(files.where(_has_any(F.col("text"), core)), F.array(*map(F.lit, core)))
-    # one exchange of the units' tokens serves the counts and the norms
+    units = staged(units.select("id", F.unhex(F.sha2(F.array_join("tokens", " "), 256)).alias("key"), "tokens"), "units")
+    texts = units.groupBy("key").agg(F.first("tokens").alias("tokens"))
+    # the exchange of the distinct tokens serves the counts and the norms
     idfs = F.broadcast(values(spark, [(t, x) for t, x in idf.items()], "token STRING, idf DOUBLE"))
-    terms = units.repartition("id", "unit").select("id", "unit", F.explode("tokens").alias("token")).groupBy("id", "unit", "token").agg(F.count(F.lit(1)).alias("tf"))
+    terms = texts.select("key", F.explode("tokens").alias("token")).groupBy("key", "token").agg(F.count(F.lit(1)).alias("tf"))
     terms = terms.join(idfs, "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
     mine = F.collect_list(F.when(F.col("idf").isNotNull(), F.struct(F.col("token").alias("t"), "w")))
-    units = staged(terms.groupBy("id", "unit").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), mine.alias("terms")), "units")
+    found = staged(terms.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), mine.alias("terms")), "vectors")
     unit = [(j, names[j], t, x / math.sqrt(sum(y * y for y in v.values()))) for j, v in enumerate(vectors) for t, x in v.items()]
     weights = values(spark, unit, "j INT, name STRING, token STRING, x DOUBLE")
-    rows = units.select("id", "unit", "norm", F.explode("terms").alias("x")).select("id", "unit", "norm", F.col("x.t").alias("token"), F.col("x.w").alias("w"))
-    dots = rows.join(F.broadcast(weights), "token").groupBy("id", "unit", "norm", "j", "name").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
-    cosine = dots.select("id", "name", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= least)
-    best = cosine.groupBy("id").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b"))
+    rows = found.select("key", "norm", F.explode("terms").alias("x")).select("key", "norm", F.col("x.t").alias("token"), F.col("x.w").alias("w"))
+    dots = rows.join(F.broadcast(weights), "token").groupBy("key", "norm", "j", "name").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
+    cosine = dots.select("key", "name", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= least)
+    of_text = cosine.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b"))
+    best = units.select("id", "key").join(of_text, "key").groupBy("id").agg(F.min("b").alias("b"))
     best = staged(best.select("id", F.col("b.name").alias("own_license"), (-F.col("b.s")).alias("own_score")), "licenses")
 
     parts = F.split("path", "/")
