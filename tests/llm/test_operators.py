@@ -483,6 +483,23 @@ def check_removed(got, docs):
     assert Counter(tuple(r) for r in got) == want
 
 
+def test_anchor_size_counts_passages_that_chunks_found():
+    """Closed windows (found within a chunk, passed on there) fill the anchor's shard as open ones do."""
+    import numpy as np
+    import pyarrow as pa
+
+    from tidemark.llm.passages import PACK, _candidates
+
+    n = 20
+    hashes = [np.array([2 * i, 2 * i + 1], dtype=np.uint32).tobytes() for i in range(n)]
+    cols = [[7] * n, list(range(n)), [0] * n, [False] * n, [0] * n, [1] * n, hashes]
+    batch = pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, PACK, strict=True)], schema=PACK)
+    for shard_words, large in ((n * 36 - 1, [7]), (n * 36, [])):
+        run, _ = _candidates(35, 2_000_000, shard_words)
+        found = [r for b in run(iter([batch])) for r in b.to_pylist()]
+        assert [r["anchor"] for r in found if r["first"] == -1] == large and all(r["first"] == -1 for r in found)
+
+
 def test_substrings(spark, sf):
     check_removed(Q.op6_substring_dedup(spark, sf).select("doc_id", "n_words", "n_removed", "kept_sha256").collect(), docs_of(spark, sf))
 
