@@ -159,6 +159,34 @@ def test_license_scan_scores_equal_units_once(spark, monkeypatch):
     assert kept["vectors"].count() == 1 + 5
 
 
+def test_license_scan_scores_units_in_their_rows(spark, monkeypatch):
+    """200 unlike files share one notice, so that each whole text is scored: no join or explode makes rows of their tokens. Compared with brute force."""
+    import random
+
+    from tidemark.llm import licenses
+
+    plans, staged = {}, licenses.staged
+
+    def seen(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return staged(df, name)
+
+    monkeypatch.setattr(licenses, "staged", seen)
+    rng = random.Random(7)
+    known = sorted({w for _, text in licenses.TEMPLATES for w in text.split()})
+    texts = {}
+    for i in range(200):
+        lines = [" ".join(rng.choices(known, k=rng.randint(1, 9)) * rng.randint(1, 3)) for _ in range(3)]
+        part = rng.choice(licenses.TEMPLATES)[1].split()
+        texts[i] = "\n".join(["Released under the MIT License.", "", *lines, "", " ".join(part[: rng.randint(1, len(part))]), "", f"{'0 ' * (i % 3)} zzz zzz file{i} {known[0]} {known[-1]}"][i % 2 * 2 :])
+    texts |= {200: "0", 201: "zzz", 202: "MIT", 203: "mit Mit MIT license license", 204: "YOU yours", 205: "\u00e9 zlib \u2126 License"}
+    found = licenses.scan(spark.createDataFrame([(k, f"d{k}/f", v) for k, v in texts.items()], "id int, path string, text string"))
+    got = {r.id: (r.own_license, r.own_score) for r in found.collect()}
+    check_licenses(got, texts)
+    assert sum(x is None for x, _ in got.values()) > 3 and len({x for x, _ in got.values()}) > 8
+    assert not any(x in plans["vectors"] for x in ("Join", "Generate")) and "token" not in "".join(x for x in plans["licenses"].splitlines() if "Join" in x)
+
+
 def test_license_scan_on_tables(spark, sf):
     q = Q.op2_license_scan(spark, sf)
     assert not any(x in q._jdf.queryExecution().executedPlan().toString() for x in ("Python", "Pandas", "Arrow"))

@@ -9,7 +9,7 @@ of the template with the best cosine over its units, if that reaches `least`.
 Only units that can reach it are scored: a cosine is at most the share of the template's norm on the tokens in common, so a unit needs a
 token outside the lightest ones that together hold less than least ** 2 of the template's squared norm. Those core tokens are few and become
 one array literal. The texts are read twice: for the idf, and for the units' tokens, which are written to the shared folder. Units with the same
-tokens are one vector, scored once.
+tokens are one vector, scored once and in its own row, since unlike texts with one notice are all vectors.
 
 A file named like LICENSE or COPYING declares its license for its directory. A file without one of its own takes that of the nearest
 directory above it that declares one: its ancestor paths are joined with the declaring directories and the longest wins.
@@ -27,7 +27,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import staged, values
+from tidemark.llm.common import staged
 
 TOKEN = r"[a-z0-9]+"
 
@@ -100,6 +100,41 @@ def _has_any(text: Column, tokens: list[str]) -> Column:
     return F.lower(text).rlike("|".join(map(re.escape, tokens)))
 
 
+def _best(tokens: Column, names: list[str], vectors: list[dict[str, float]], vocab: list[str], idf: dict[str, float], other: float, least: float) -> Column:
+    """The least struct of s (the negative cosine) and name that reaches `least`, or null; worked out in the unit's own row.
+
+    The tokens are sorted together with one of each token of vocab, so that runs are counts and the k-th run of a token of vocab is that of
+    vocab[k - 1]: no token is looked up, joined or made a row. Each run adds its square to the norm and, if known, its share to every dot.
+    """
+    numbers = lambda xs: f"array({', '.join(f'{x!r}D' for x in xs)})"
+    norms = [math.sqrt(sum(x * x for x in v.values())) for v in vectors]
+    known, weight = F.array(*map(F.lit, vocab)), F.expr(numbers(idf[t] for t in vocab))
+    share = F.expr(f"array({', '.join(numbers(idf[t] * v.get(t, 0.0) / n for v, n in zip(vectors, norms, strict=True)) for t in vocab)})")
+
+    def closed(acc: Column) -> tuple[Column, Column]:
+        """The squared norm and the dots with the run that has just ended."""
+        mine = (acc["k"] > 0) & (F.get(known, acc["k"] - 1) == acc["t"])
+        w = F.when(mine, (acc["n"] - 1) * F.get(weight, acc["k"] - 1)).otherwise(acc["n"] * other)
+        more = F.zip_with(acc["dots"], F.get(share, acc["k"] - 1), lambda d, x: d + (acc["n"] - 1) * x)
+        return acc["sq"] + w * w, F.when(mine & (acc["n"] > 1), more).otherwise(acc["dots"])
+
+    def state(t: Column, n: Column, k: Column, sq: Column, dots: Column) -> Column:
+        return F.struct(t.alias("t"), n.alias("n"), k.alias("k"), sq.alias("sq"), dots.alias("dots"))
+
+    def step(acc: Column, x: Column) -> Column:
+        again = state(acc["t"], acc["n"] + 1, acc["k"], acc["sq"], acc["dots"])
+        k = acc["k"] + F.when(F.get(known, acc["k"]) == x, 1).otherwise(0)
+        return F.when(x == acc["t"], again).otherwise(state(x, F.lit(1.0), k, *closed(acc)))
+
+    def finish(acc: Column) -> Column:
+        sq, dots = closed(acc)
+        each = F.zip_with(dots, F.array(*map(F.lit, names)), lambda d, name: F.struct((-F.round(d / F.sqrt(sq), 9)).alias("s"), name.alias("name")))
+        return F.array_min(F.filter(each, lambda x: x["s"] <= -least))
+
+    start = state(F.lit(""), F.lit(0.0), F.lit(0), F.lit(0.0), F.expr(numbers([0.0] * len(names))))
+    return F.aggregate(F.sort_array(F.concat(tokens, known)), start, step, finish)
+
+
 def scan(files: DataFrame, templates=TEMPLATES, least: float = 0.6) -> DataFrame:
     """id, path, own_license, own_score, license, license_from (own, directory or null), directory for every row of files(id, path, text)."""
     spark = files.sparkSession
@@ -119,18 +154,8 @@ def scan(files: DataFrame, templates=TEMPLATES, least: float = 0.6) -> DataFrame
     units = _units(files.where(_has_any(F.col("text"), core)), F.array(*map(F.lit, core)))
     units = staged(units.select("id", F.unhex(F.sha2(F.array_join("tokens", " "), 256)).alias("key"), "tokens"), "units")
     texts = units.groupBy("key").agg(F.first("tokens").alias("tokens"))
-    # the exchange of the distinct tokens serves the counts and the norms
-    idfs = F.broadcast(values(spark, [(t, x) for t, x in idf.items()], "token STRING, idf DOUBLE"))
-    terms = texts.select("key", F.explode("tokens").alias("token")).groupBy("key", "token").agg(F.count(F.lit(1)).alias("tf"))
-    terms = terms.join(idfs, "token", "left").withColumn("w", F.col("tf") * F.coalesce("idf", F.lit(other)))
-    mine = F.collect_list(F.when(F.col("idf").isNotNull(), F.struct(F.col("token").alias("t"), "w")))
-    found = staged(terms.groupBy("key").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), mine.alias("terms")), "vectors")
-    unit = [(j, names[j], t, x / math.sqrt(sum(y * y for y in v.values()))) for j, v in enumerate(vectors) for t, x in v.items()]
-    weights = values(spark, unit, "j INT, name STRING, token STRING, x DOUBLE")
-    rows = found.select("key", "norm", F.explode("terms").alias("x")).select("key", "norm", F.col("x.t").alias("token"), F.col("x.w").alias("w"))
-    dots = rows.join(F.broadcast(weights), "token").groupBy("key", "norm", "j", "name").agg(F.sum(F.col("w") * F.col("x")).alias("dot"))
-    cosine = dots.select("key", "name", F.round(F.col("dot") / F.col("norm"), 9).alias("score")).where(F.col("score") >= least)
-    of_text = cosine.groupBy("key").agg(F.min(F.struct((-F.col("score")).alias("s"), "name")).alias("b"))
+    found = staged(texts.select("key", _best(F.col("tokens"), names, vectors, vocab, idf, other, least).alias("b")), "vectors")
+    of_text = found.where("b IS NOT NULL")
     best = units.select("id", "key").join(of_text, "key").groupBy("id").agg(F.min("b").alias("b"))
     best = staged(best.select("id", F.col("b.name").alias("own_license"), (-F.col("b.s")).alias("own_score")), "licenses")
 
